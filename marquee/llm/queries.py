@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import canonical, components, survivors
-from marquee.session import table
+from marquee.llm import canonical, components, packing, survivors, tokens
+from marquee.session import spread, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,5 +25,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.group_rows(table(spark, sf_dir, "title_group"), table(spark, sf_dir, "key_match")).where("several").select("group_no", "root_no")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids of every document by byte_bpe_50k; no ids where the text is null or empty."""
+    return tokens.encode_documents(documents(spark, sf_dir))
+
+
+def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """budget_id, pack_group, container, doc_id, piece, tok_start, tok_end of every text's pieces for every budget."""
+    return packing.pack(tokens.token_counts(documents(spark, sf_dir)), table(spark, sf_dir, "token_budget"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack}
