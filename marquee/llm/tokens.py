@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.session import tokenizer_dir
+from marquee.session import checkpointed, tokenizer_dir
 
 #: Pre-tokens of byte_bpe_50k: the vocabulary's public pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -128,8 +128,8 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
             yield pd.DataFrame({"key": b["key"], "ids": [encode(t, name, folder) for t in b["text"]]})
 
     direct = rows.where(size <= chunk).mapInPandas(whole, "key bigint, ids array<int>")
-    # every row gets a number of its own, so that repeated rows stay apart
-    long = rows.where(size > chunk).withColumn("row", F.monotonically_increasing_id())
+    # every row gets a number of its own, so that repeated rows stay apart; written down, as the number must not change
+    long = checkpointed(rows.where(size > chunk).withColumn("row", F.monotonically_increasing_id()))
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
