@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import canonical, components, packing, survivors, tokens
+from marquee.llm import canonical, components, lookalikes, packing, survivors, tokens
 from marquee.session import spread, table
 
 
@@ -15,6 +15,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("showtime_id").cast("bigint").alias("showtime_id"), "field", F.col("ref_id").cast("int").alias("ref_id"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, row_id, field, pos of every title or genre with invisible characters or characters in place of others."""
+    values = lookalikes.values_of(table(spark, sf_dir, "listing"), table(spark, sf_dir, "title_dim"))
+    return lookalikes.disguised(values).select("src", "row_id", "field", F.col("pos").cast("int").alias("pos"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """distributor_code, field, listing_id of the surviving values."""
     return survivors.representatives(table(spark, sf_dir, "listing"), table(spark, sf_dir, "dim_venue")).select("distributor_code", "field", "listing_id")
@@ -40,4 +46,4 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack}
