@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import canonical, components, lookalikes, packing, survivors, tokens
+from marquee.llm import canonical, components, lookalikes, matching, packing, survivors, tokens
 from marquee.session import spread, table
 
 
@@ -31,6 +31,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.group_rows(table(spark, sf_dir, "title_group"), table(spark, sf_dir, "key_match")).where("several").select("group_no", "root_no")
 
 
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listing_id, title_id, confidence of every listing that is the same film as a row of title_dim."""
+    listing, films = table(spark, sf_dir, "listing"), table(spark, sf_dir, "title_dim")
+    model = lookalikes.train(lookalikes.values_of(listing, films))
+    return matching.match(spread(listing), spread(films), model)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """listing_id, title_id of every listing that is the same film as a row of title_dim."""
+    return p7_matches(spark, sf_dir).select("listing_id", "title_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -46,4 +58,4 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_pack": p9_pack}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_pack": p9_pack}
