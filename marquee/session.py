@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +16,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that all executors share, so that losing an executor loses no data.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the one named by the session's `spark.checkpoint.dir`. Only where neither that
-    setting nor a checkpoint folder exists (local tests) a temporary folder is made.
+    Only where neither that setting nor a checkpoint folder exists (local tests) a temporary folder is made.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marquee-checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` as a table written to the shared folder: its lineage is cut and losing an executor loses no data.
+
+    A table is computed once and has statistics, where a checkpoint of rows is computed twice and has none.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a `checkpointed` table that nothing reads any more."""
+    path = getattr(df, "_written_to", None)
+    if path:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def as_micros(df: DataFrame, name: str) -> F.Column:
