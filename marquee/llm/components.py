@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.session import checkpointed
+from marquee.session import checkpointed, forget
 
 
 def contract(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -33,9 +33,10 @@ def contract(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hook = left.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("v"), F.least(order("a"), F.col("m"))["v"].alias("root"))
         hook = checkpointed(hook)
         maps.append(hook)
-        half = left.join(hook.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b").where("ra <> b or true").distinct()
+        half = left.join(hook.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b").distinct()
         moved = half.join(hook.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        left = checkpointed(moved)
+        before, left = left, checkpointed(moved)
+        forget(before)
     else:
         raise RuntimeError(f"not contracted after {rounds} rounds")
     if not maps:
