@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import canonical, components, lookalikes, matching, packing, survivors, tokens
+from marquee.llm import canonical, components, lookalikes, matching, packing, sentences, survivors, tokens
 from marquee.session import spread, table
 
 
@@ -57,5 +57,11 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.token_counts(documents(spark, sf_dir)), table(spark, sf_dir, "token_budget"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, sent_start, sent_end of every sentence unit."""
+    docs = documents(spark, sf_dir)
+    return sentences.split_documents(docs, sentences.train(docs))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_pack": p9_pack}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p7_matches": p7_matches, "p8_ids": p8_ids, "p9_pack": p9_pack, "p10_found": p10_found}
