@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from marquee.plans import general
+from marquee.plans import general, programme
 
 
 def queries() -> dict:
-    return {**general.queries()}
+    return {**programme.QUERIES, **general.queries()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(programme.SQL)
