@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from marquee.plans import general, programme
+from marquee.plans import general, publication
 
 
 def queries() -> dict:
-    return {**programme.QUERIES, **general.queries()}
+    return {**publication.QUERIES, **general.queries()}
 
 
 def oracle_sql() -> dict:
-    return dict(programme.SQL)
+    return dict(publication.SQL)
