@@ -12,7 +12,7 @@ def _q(s: str) -> str:
 def _usable_text(c: str) -> str:
     bare = f"lower(regexp_replace(regexp_replace({c}, {_q(r'''^[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\[({<\"'„“]+|[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}\])}>\"'“”]+$''')}, '', 'g'), {_q(r'[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+')}, ' ', 'g'))"
     parts = [f"{c} IS NOT NULL", f"{bare} NOT IN ({', '.join(map(_q, V.STAND_INS))})", f"regexp_matches({c}, {_q(r'[\p{L}\p{N}]')})"]
-    parts += [f"NOT regexp_matches({c}, {_q(p)})" for p in (V.OTHER_FIELD, V.BROKEN, V.CUT_OFF)]
+    parts += [f"NOT regexp_matches({c}, {_q(p.replace(chr(63) + "iu", chr(63) + "i"))})" for p in (V.OTHER_FIELD, V.BROKEN, V.CUT_OFF)]
     parts += [f"coalesce(trim({c}) <> trim({o}), true)" for o in ("synopsis", "distributor_code", "cinema_id")]
     return "(" + " AND ".join(parts) + ")"
 

@@ -22,7 +22,7 @@ FIELDS = ("raw_title", "original_title", "runtime_minutes", "poster_url")
 #: What stands in for a missing value, after trimming, lower case and brackets removed.
 STAND_INS = ["", "-", "--", "---", "—", "/", "//", "?", "??", "???", ".", "..", "x", "n/a", "na", "n.a.", "null", "none", "nan", "nil", "undefined", "unknown", "untitled", "tba", "tbd", "tbc", "film bez naslova", "bez naslova", "naslov", "naslov filma", "naziv", "naziv filma", "uskoro", "coming soon", "title", "original title", "originalni naslov", "nema", "nema podataka", "nepoznato", "nepoznat", "no title", "test", "lorem ipsum", "0", "—-", "–", "без наслова", "ускоро", "непознато", "нема података"]
 #: Texts of other fields: a label and its value, a length, a link.
-OTHER_FIELD = r"(?i)^\s*(?:(?:trajanje|žanr|zanr|žanrovi|režija|rezija|reditelj|glume|uloge|glumci|godina|zemlja|premijera|distributer|jezik|format|opis|sinopsis|cast|genre|runtime|director|duration|year|country|трајање|жанр|режија)\s*:|https?://|www\.|\d{1,3}\s*min\b)"
+OTHER_FIELD = r"(?iu)^\s*(?:(?:trajanje|žanr|zanr|žanrovi|režija|rezija|reditelj|glume|uloge|glumci|godina|zemlja|premijera|distributer|jezik|format|opis|sinopsis|cast|genre|runtime|director|duration|year|country|трајање|жанр|режија)\s*:|https?://|www\.|\d{1,3}\s*min\b)"
 #: Broken encoding: replacement characters, UTF-8 read as Windows-1252 or Latin-1, question marks inside words.
 BROKEN = r"\x{FFFD}|[ÃÄÅÐÑ][\x{0080}-\x{00BF}\x{0152}\x{0153}\x{0160}\x{0161}\x{0178}\x{017D}\x{017E}\x{0192}\x{02C6}\x{02DC}\x{2013}\x{2014}\x{2018}-\x{201E}\x{2020}-\x{2022}\x{2026}\x{2030}\x{2039}\x{203A}\x{20AC}\x{2122}]|\p{L}\?\p{L}|â€|&#\d+;|&[a-z]+;"
 CUT_OFF = r"(?:\.\.\.|…)\s*$"
