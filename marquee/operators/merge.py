@@ -43,14 +43,14 @@ def merge_records(listing: DataFrame, group: str, venue: DataFrame) -> DataFrame
         first_by(F.col("poster_url"), by_trust, some("poster_url")).alias("poster_url"),
         first_by(F.col("runtime_minutes"), by_trust, F.col("runtime_minutes") > 0).alias("runtime_minutes"),
         first_by(F.col("synopsis"), by_order, some("synopsis")).alias("synopsis"),
-        F.array_sort(F.collect_list(F.struct(by_trust.alias("o"), tidy_title(F.col("original_title")).alias("v")))).alias("originals"),
+        F.array_sort(F.collect_list(F.struct(by_trust.alias("o"), tidy_title(F.col("original_title")).alias("v"), tidy_title(F.col("clean_title")).alias("c")))).alias("originals"),
         F.coalesce(F.bool_or(F.col("origin_country").isin(DOMESTIC)), F.lit(False)).alias("domestic"),
         F.countDistinct("cinema_id").alias("cinemas"),
     )
     shown = display_title(F.filter(F.transform("x", lambda e: e["v"]), lambda v: v.isNotNull() & (v != "")))
     genres = F.array_distinct(F.filter(F.flatten(F.filter(F.transform("x", lambda e: e["g"]), lambda g: g.isNotNull())), lambda g: g.isNotNull()))
     out = agg.withColumn("title", shown).withColumn("genres", genres).withColumn("aliases", F.array_distinct(F.filter(F.transform("x", lambda e: e["r"]), lambda r: r.isNotNull())))
-    other = F.filter(F.transform("originals", lambda e: e["v"]), lambda v: v.isNotNull() & (v != ""))
+    other = F.filter(F.concat(F.transform("originals", lambda e: e["v"]), F.transform("originals", lambda e: e["c"])), lambda v: v.isNotNull() & (v != ""))
     key = normalize_title(F.col("title"))
     out = out.withColumn("key", key).withColumn("original_title", F.get(F.filter(other, lambda v: normalize_title(v) != F.col("key")), F.lit(0)))
     return out.drop("x", "originals", "key")
