@@ -92,12 +92,12 @@ def edges(start: int, window: str, at_end: bool, chunk: int, overlap: int) -> tu
 def stitch(text: str, heads: list[list[int]], tails: list[list[int]], chunk: int, overlap: int) -> list[int]:
     """Positions at which `text` may be cut, 0 first: the first boundary that each chunk shares with the part before it.
 
-    Where a chunk shares none, the part before it goes on: its boundaries in the next overlap are found from the
+    Not behind white space: how a run of it is split depends on what follows. Where a chunk shares none, the part before it goes on: its boundaries in the next overlap are found from the
     last boundary that is known to be right.
     """
     cuts, sure, last = [0], set(tails[0]), max(tails[0], default=0)
     for i in range(1, len(heads)):
-        common = [c for c in heads[i] if c in sure and c > cuts[-1]]
+        common = [c for c in heads[i] if c in sure and c > cuts[-1] and not text[c - 1].isspace()]
         if common:
             cuts.append(common[0])
             sure = {t for t in tails[i] if t >= common[0]}
