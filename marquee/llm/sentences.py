@@ -175,6 +175,8 @@ def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
             kind, _, _, s = toks[j]
             if s in _OPEN:
                 pass
+            elif s == "." and found and found[0][:2] == "<n" and j + 1 < n and toks[j + 1][0] == "word":
+                found.append("." + _class("word", toks[j + 1][3]))  # an ordinal and its noun
             elif kind == "run":
                 found.append("t:" + s[:6])
                 if len(s) > 6:
@@ -257,7 +259,9 @@ def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
                 if take and not spaced:
                     if mark == ".":
                         left = toks[i - 1] if i else None
-                        take = k2 == "word" and len(t2) > 1 and bool(left) and left[0] in ("word", "num", "other") and (left[0] != "word" or len(left[3]) > 2) and (t2[0].isupper() or not cased) and (left[0] != "num" or t2[0].isupper())
+                        take = k2 == "word" and bool(left) and (len(t2) > 1 or len(left[3]) > 2) and left[0] in ("word", "num", "other") and (t2[0].isupper() or not cased) and (left[0] != "num" or t2[0].isupper())
+                        # no initials, and letters alone only before a capitalised word
+                        take = take and (left[0] != "word" or len(left[3]) > 2 or (cased and not (len(left[3]) == 1 and left[3].isupper()) and t2[1:2].islower()))
                         take = take or bool(closed and k2 in ("word",) and t2[0].isupper())
                     elif mark in "!?…" and not closed:
                         take = k2 in ("word", "num", "run", "char") or t2 in _OPEN
@@ -319,7 +323,10 @@ def certain(text: str, lines: list[tuple[int, int]]) -> tuple[tuple[str, str], t
     """The start (two words) and the end (two words, punctuation) of a paragraph that ends with sentence punctuation."""
     toks = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(text, lines[0][0], min(lines[0][1], lines[0][0] + 200))]
     start: list[str] = []
-    for kind, s in [x for x in toks if x[1] not in _OPEN][:3]:
+    toks = [x for x in toks if x[1] not in _OPEN]
+    if len(toks) > 2 and toks[0][0] == "num" and toks[1][1] == "." and toks[2][0] == "word":
+        toks[1:3] = [("other", "." + _class("word", toks[2][1]))]
+    for kind, s in toks[:3]:
         start += ["t:" + s[:6]] + (["t:" + s[6:11]] if len(s) > 6 else []) if kind == "run" else [_class(kind, s)]
     a, b = lines[-1]
     tail = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(text, max(a, b - 120), b)]
