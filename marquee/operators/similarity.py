@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marquee.functions.text import bigrams, dice
+from marquee.functions.text import bigrams
 from marquee.session import checkpointed
 
 
@@ -16,29 +16,51 @@ def keyed(df: DataFrame, key: str = "key") -> DataFrame:
     return out.withColumn("grams", bigrams(F.col("key"))).withColumn("n", F.size("grams")).withColumn("flat", F.replace("key", F.lit(" "), F.lit("")))
 
 
+def numbered(left: DataFrame, right: DataFrame | None) -> DataFrame:
+    """(side, id, key, flat, n, g): keys with a number, their bigrams as sorted ranks, the rarest first."""
+    both = keyed(left).withColumn("side", F.lit("a"))
+    if right is not None:
+        both = both.unionByName(keyed(right).withColumn("side", F.lit("b")))
+    both = checkpointed(both.withColumn("id", F.monotonically_increasing_id()))
+    freq = both.select(F.explode("grams").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
+    # as many rows as there are bigrams of the alphabet, each with a small number: one task ranks them
+    ranks = freq.select("x", F.row_number().over(W.orderBy("f", "x")).alias("rank"))
+    sets = both.select("id", F.explode("grams").alias("x")).join(ranks, "x").groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("g"))
+    none = F.array().cast("array<int>")
+    return checkpointed(both.select("side", "id", "key", "flat", "n").join(sets, "id", "left").withColumn("g", F.coalesce("g", none)))
+
+
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.82) -> DataFrame:
     """(a, b, score) of the pairs of keys with Dice >= threshold; without `right`, pairs a < b within `left`.
 
     Two keys of n1 and n2 bigrams that reach the threshold share at least t(n1+n2)/2 of them, so they share one of
-    the rarest n1 - ceil(t n1 / (2-t)) + 1 bigrams of either (with one global order of bigrams). Keys equal without
-    spaces are joined on that. No pair is lost, every candidate is verified with the exact value.
+    the rarest n1 - ceil(t n1 / (2-t)) + 1 bigrams of either (with one global order of bigrams). Where they first
+    meet, what is left of either bounds what they can share. Keys equal without spaces are joined on that. No pair
+    is lost, every candidate is verified with the exact value.
     """
     t = threshold
-    same = right is None
-    a = checkpointed(keyed(left))
-    b = a if same else checkpointed(keyed(right))
-    grams = a.select(F.explode("grams").alias("g")) if same else a.select(F.explode("grams").alias("g")).union(b.select(F.explode("grams").alias("g")))
-    freq = grams.groupBy("g").agg(F.count("*").alias("f"))
-    rarest = W.partitionBy("key").orderBy("f", "g")
+    keys = numbered(left, right)
+    a = keys.where("side = 'a'")
+    b = a if right is None else keys.where("side = 'b'")
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        keep = F.col("n") - F.ceil(F.lit(t / (2 - t)) * F.col("n") - 1e-9) + 1
-        return df.select("key", "n", F.explode("grams").alias("g")).join(freq, "g").withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= keep).select("g", F.col("key").alias(name), F.col("n").alias(f"n_{name}"))
-
-    close = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t / (2 - t)) - 1e-9)
-    cand = prefix(a, "a").join(prefix(b, "b"), "g").where(close).select("a", "b")
-    flat = a.select("flat", F.col("key").alias("a")).join(b.select("flat", F.col("key").alias("b")), "flat").select("a", "b")
-    pairs = cand.union(flat)
-    pairs = (pairs.where("a < b") if same else pairs).distinct()
-    both = pairs.join(a.select(F.col("key").alias("a"), F.col("grams").alias("ga")), "a").join(b.select(F.col("key").alias("b"), F.col("grams").alias("gb")), "b")
-    return both.select("a", "b", dice(F.col("a"), F.col("b"), F.col("ga"), F.col("gb")).alias("score")).where(F.col("score") >= t)
+        keep = (F.col("n") - F.ceil(F.lit(t / (2 - t)) * F.col("n") - 1e-9) + 1).cast("int")
+        return df.where("n > 0").select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode(F.slice("g", F.lit(1), keep)).alias(f"i_{name}", "x"))
+
+    joined = prefix(a, "a").join(prefix(b, "b"), "x")
+    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t / (2 - t)) - 1e-9
+    joined = joined.where(close & (F.col("a") < F.col("b")) if right is None else close)
+    # the first meeting of a pair bounds its overlap
+    met = joined.groupBy("a", "b").agg(F.min("i_a").alias("i"), F.min("i_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    most = F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))
+    cand = met.where(2 * most >= t * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b")
+    side = lambda df, name: df.select(F.col("id").alias(name), F.col("g").alias(f"g_{name}"), F.col("n").alias(f"n_{name}"))
+    both = cand.join(side(a, "a"), "a").join(side(b, "b"), "b")
+    score = 2.0 * F.size(F.array_intersect("g_a", "g_b")) / (F.col("n_a") + F.col("n_b"))
+    near = both.select("a", "b", score.alias("score")).where(F.col("score") >= t)
+    flat = a.select("flat", F.col("id").alias("a")).join(b.select("flat", F.col("id").alias("b")), "flat").select("a", "b", F.lit(1.0).alias("score"))
+    found = near.unionByName(flat.where("a < b") if right is None else flat).groupBy("a", "b").agg(F.max("score").alias("score"))
+    out = found.join(a.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(b.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
+    if right is None:
+        return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "score")
+    return out.select(F.col("ka").alias("a"), F.col("kb").alias("b"), "score")
