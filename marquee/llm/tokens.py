@@ -117,6 +117,13 @@ def pieces_of(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
+def parts(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """The batches in parts of few rows, so that the ids of one part fit a worker whatever the texts."""
+    for b in batches:
+        for n in range(0, len(b), rows):
+            yield b.iloc[n : n + rows]
+
+
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP, folder: str | None = None) -> DataFrame:
     """(key, ids) of every row."""
     folder = folder or tokenizer_dir()
@@ -124,7 +131,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     size = F.coalesce(F.length("text"), F.lit(0))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in parts(batches):
             yield pd.DataFrame({"key": b["key"], "ids": [encode(t, name, folder) for t in b["text"]]})
 
     direct = rows.where(size <= chunk).mapInPandas(whole, "key bigint, ids array<int>")
@@ -157,7 +164,7 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", n
                     yield pd.DataFrame(many[n : n + 64], columns=["row", "i", "text"])
 
     def piece(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in parts(batches):
             yield pd.DataFrame({"row": b["row"], "i": b["i"], "ids": [encode(t, name, folder) for t in b["text"]]})
 
     found = long.select("row", "text").mapInPandas(spans, "row bigint, i int, start bigint, window string, at_end boolean").repartition("row", "i").mapInPandas(split, "row bigint, i int, head array<bigint>, tail array<bigint>")
