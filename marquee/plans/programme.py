@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marquee.functions import classify, links, temporal, text
 from marquee.operators import merge, resolve, similarity
 from marquee.plans import sql as S
-from marquee.session import as_micros, table
+from marquee.session import table, utc_wall
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -149,7 +149,7 @@ SELECT cinema_id, listings, false AS stale FROM live UNION ALL SELECT cinema_id,
 def q_union_fallback(spark, d):
     """Listings of the newest run, for sources without any their last good run, marked stale."""
     l = table(spark, d, "listing")
-    r = l.select("cinema_id", F.date_format(F.timestamp_micros(as_micros(l, "fetched_at")), "yyyy-MM").alias("run")).groupBy("cinema_id", "run").agg(F.count("*").alias("listings"))
+    r = l.select("cinema_id", F.date_format(utc_wall(l, "fetched_at"), "yyyy-MM").alias("run")).groupBy("cinema_id", "run").agg(F.count("*").alias("listings"))
     newest = r.agg(F.max("run").alias("newest"))
     r = r.join(F.broadcast(newest.limit(1)))
     live = r.where("run = newest").select("cinema_id", "listings", F.lit(False).alias("stale"))
@@ -166,7 +166,7 @@ def streaks(spark, d):
     """Consecutive failures of every source and run: gaps and islands over the runs; a run fails if titles are missing."""
     l = table(spark, d, "listing")
     empty = F.col("raw_title").isNull() | (F.trim("raw_title") == "")
-    runs = l.groupBy("cinema_id", F.date_format(F.timestamp_micros(as_micros(l, "fetched_at")), "yyyy-MM").alias("run")).agg((F.count_if(empty) * 25 > F.count("*")).alias("failed"))
+    runs = l.groupBy("cinema_id", F.date_format(utc_wall(l, "fetched_at"), "yyyy-MM").alias("run")).agg((F.count_if(empty) * 25 > F.count("*")).alias("failed"))
     order = W.partitionBy("cinema_id").orderBy("run")
     grp = runs.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order))
     n = F.row_number().over(W.partitionBy("cinema_id", "island").orderBy("run"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marquee.functions import classify, links, temporal, text
 from marquee.plans import sql as S
 from marquee.plans.programme import AUDIO_SQL, PLAIN_TIME, QUERIES, SHOWN, SQL, query, shown
-from marquee.session import as_micros, table
+from marquee.session import table, utc_wall
 from marquee.sources import html
 from marquee.streaming import refresh
 
@@ -58,7 +58,7 @@ LOCAL = "(fetched_at AT TIME ZONE 'Europe/Belgrade')"
 def q_tz_local(spark, d):
     """Belgrade day, time, label and offset of every fetch; also where the session is not in UTC."""
     l = table(spark, d, "listing")
-    utc = F.to_utc_timestamp(F.timestamp_micros(as_micros(l, "fetched_at")), F.current_timezone())
+    utc = utc_wall(l, "fetched_at")
     minutes = (F.unix_seconds(temporal.local(utc)) - F.unix_seconds(utc)) / 60
     off = F.format_string("+%02d:%02d", F.floor(minutes / 60).cast("int"), (minutes % 60).cast("int"))
     return l.select("listing_id", temporal.local_date(utc).alias("day"), temporal.local_time(utc).alias("time"), temporal.timestamp_label(utc).alias("label"), off.alias("off"))
@@ -216,7 +216,7 @@ SELECT v.city_id, count(*) AS stale, string_agg(v.name || ' (' || strftime(last,
 def q_source_notices(spark, d):
     """Per city the sources whose newest listing is a week behind the newest of all."""
     l = table(spark, d, "listing")
-    local = temporal.local(F.to_utc_timestamp(F.timestamp_micros(as_micros(l, "fetched_at")), F.current_timezone()))
+    local = temporal.local(utc_wall(l, "fetched_at"))
     s = l.select("cinema_id", local.alias("at")).groupBy("cinema_id").agg(F.max("at").alias("last"))
     n = s.agg(F.max("last").alias("newest"))
     old = s.join(F.broadcast(n)).where(F.col("last") < F.col("newest") - F.expr("interval 7 days"))

@@ -57,6 +57,11 @@ def as_micros(df: DataFrame, name: str) -> F.Column:
     return F.unix_micros(F.col(name))
 
 
+def utc_wall(df: DataFrame, name: str) -> F.Column:
+    """The column `name` as wall time in UTC, whatever the session's time zone."""
+    return F.to_utc_timestamp(F.timestamp_micros(as_micros(df, name)), F.current_timezone())
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether `df` has at most `rows` rows; looks at no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows

@@ -28,3 +28,12 @@ def test_plans_prune_and_broadcast(spark, small):
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan
     scan = next(x for x in plan.split("\n") if "showtime.parquet" in x)
     assert "booking_url" not in scan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("name", ["q_tz_local", "q_union_fallback", "q_streak", "q_source_notices", "q_stream_counts", "q_facets_all"])
+def test_session_zone_does_not_matter(spark, small, name):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        same(spark, small, catalogue.queries()[name], SQL[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
