@@ -28,3 +28,26 @@ def resolve(lookups: DataFrame, candidates: DataFrame, overrides: DataFrame | No
     if overrides is not None:
         out = out.join(overrides_by_key(overrides), "key", "left").select("key", F.coalesce("override_id", "id").alias("id"), F.when(F.col("override_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
     return out.where("id is not null")
+
+
+def recheck(ranked: DataFrame, details: DataFrame, least: float = 0.62, most: int = 3) -> DataFrame:
+    """(key, id): for lookups without a good candidate, the first of their `most` best whose detailed titles are similar.
+
+    ranked: (key, id, rank); details: (id, title, original_title).
+    """
+    from marquee.functions.text import bigrams, dice
+
+    best = F.greatest(*[F.coalesce(dice(F.col("key"), t, bigrams(F.col("key")), bigrams(t)), F.lit(0.0)) for t in (normalize_title(F.col("title")), normalize_title(F.col("original_title")))])
+    ok = ranked.where(F.col("rank") <= most).join(details.select("id", "title", "original_title"), "id").where(best >= least)
+    return ok.groupBy("key").agg(F.min_by("id", "rank").alias("id"))
+
+
+def sessions_with_films(sessions: DataFrame, films: DataFrame) -> DataFrame:
+    """Sessions with the title of their film (movieId = id); those without a title are dropped."""
+    return sessions.join(films.select(F.col("id").alias("movieId"), "title"), "movieId").where("title is not null and title <> ''")
+
+
+def venue_or_error(df: DataFrame, venues: DataFrame, on: str = "cinema_id") -> DataFrame:
+    """`df` with its venue's city; a venue that does not exist is an error, not a lost row."""
+    out = df.join(venues.select(on, "city_id"), on, "left")
+    return out.withColumn("city_id", F.when(F.col("city_id").isNull(), F.raise_error(F.concat(F.lit("unknown venue "), F.coalesce(F.col(on), F.lit("null"))))).otherwise(F.col("city_id")))

@@ -76,7 +76,7 @@ def facets(spark, d, dubbed: bool, kids: bool, today: str, cutoff: int) -> DataF
     return base.groupBy(F.col("day").cast("string").alias("day"), "city_id").agg(
         F.countDistinct(F.when(seen, F.col("listing_id"))).alias("visible_movies"), F.count_if(seen).alias("visible_showtimes"),
         F.count_if(~past & (F.col("audio") == "unknown")).alias("unknown_audio"), F.bool_or(past).alias("hid_past"),
-    )
+    ).withColumn("message", F.when(F.col("visible_showtimes") > 0, "").when(F.col("hid_past") & F.lit(not (dubbed or kids)), "over").otherwise("none"))
 
 
 def facets_sql(dubbed: bool, kids: bool, today: str, cutoff: int) -> str:
@@ -87,7 +87,8 @@ def facets_sql(dubbed: bool, kids: bool, today: str, cutoff: int) -> str:
       l.kid FROM ({SHOWN}) s LEFT JOIN (SELECT listing_id, {KID_SQL} AND NOT {GROWN_SQL} AS kid FROM listing) l USING (listing_id)),
     x AS (SELECT *, CAST(day AS VARCHAR) = '{today}' AND start >= 0 AND start < {cutoff} AS past FROM base {'WHERE kid' if kids else ''})
     SELECT CAST(day AS VARCHAR) AS day, city_id, count(DISTINCT CASE WHEN {seen} THEN listing_id END) AS visible_movies,
-      count(*) FILTER (WHERE {seen}) AS visible_showtimes, count(*) FILTER (WHERE NOT past AND audio = 'unknown') AS unknown_audio, bool_or(past) AS hid_past
+      count(*) FILTER (WHERE {seen}) AS visible_showtimes, count(*) FILTER (WHERE NOT past AND audio = 'unknown') AS unknown_audio, bool_or(past) AS hid_past,
+      CASE WHEN count(*) FILTER (WHERE {seen}) > 0 THEN '' WHEN bool_or(past) AND {'false' if dubbed or kids else 'true'} THEN 'over' ELSE 'none' END AS message
     FROM x GROUP BY 1, 2"""
 
 
@@ -357,6 +358,23 @@ def q_trailer_summary(spark, d):
     return h.agg(F.array_join(F.transform(F.array_sort(F.collect_list(s)), lambda e: e["t"]), " · ").alias("t")).select(F.when(F.col("t") == "", "nema").otherwise(F.col("t")).alias("summary"))
 
 
+CERT = "struct<results:array<struct<iso_3166_1:string,release_dates:array<struct<certification:string>>>>>"
+
+
+@query("""WITH b AS (SELECT landing_id, CAST(body AS JSON) AS j FROM details_response WHERE json_valid(body)),
+r AS (SELECT landing_id, json_extract(j, '$.release_dates.results') AS r FROM b WHERE json_type(j) = 'OBJECT' AND json_type(json_extract(j, '$.release_dates')) = 'OBJECT'),
+c AS (SELECT landing_id, i, json_extract(r, '$[' || i || ']') AS c FROM (SELECT landing_id, r, unnest(range(CAST(json_array_length(r) AS BIGINT))) AS i FROM r WHERE json_type(r) = 'ARRAY')),
+d AS (SELECT landing_id, i, c->>'$.iso_3166_1' AS country, json_extract(c, '$.release_dates') AS d FROM c WHERE json_type(c) = 'OBJECT'),
+e AS (SELECT landing_id, i, country, k, json_extract(d, '$[' || k || ']')->>'$.certification' AS x FROM (SELECT *, unnest(range(CAST(json_array_length(d) AS BIGINT))) AS k FROM d WHERE json_type(d) = 'ARRAY'))
+SELECT landing_id, country, arg_min(x, (i, k)) AS certification FROM e WHERE country IS NOT NULL AND trim(x) <> '' GROUP BY 1, 2""")
+def q_certifications(spark, d):
+    """The first label that is not blank of each country of each record."""
+    doc = F.from_json("body", f"struct<release_dates:{CERT}>")
+    c = table(spark, d, "details_response").select("landing_id", F.posexplode(doc["release_dates"]["results"]).alias("i", "c")).where("c.iso_3166_1 is not null")
+    e = c.select("landing_id", "i", F.col("c.iso_3166_1").alias("country"), F.posexplode("c.release_dates").alias("k", "x")).where("trim(x.certification) <> ''")
+    return e.groupBy("landing_id", "country").agg(F.min_by("x.certification", F.struct("i", "k")).alias("certification"))
+
+
 def _age_sql(country: str) -> str:
     c = f"upper(trim(certifications['{country}']))"
     listed = " ".join(f"WHEN {c} = '{k}' THEN {'NULL' if v < 0 else v}" for k, v in classify.LABELS.get(country, {}).items())
@@ -373,6 +391,12 @@ def q_age_rating(spark, d):
     return x.select("id", "age", "source", "confident", classify.kid_friendly(F.col("age")).alias("kid_friendly"), classify.age_badge(F.col("age")).alias("badge"), classify.age_label(F.col("age")).alias("label"))
 
 
+@query("SELECT count(*) AS films, count(*) FILTER (WHERE age IS NULL) AS unrated, count(*) FILTER (WHERE confident = false) AS estimated, count(*) FILTER (WHERE kid_friendly) AS kid_friendly FROM (" + SQL["q_age_rating"] + ")")
+def q_rating_coverage(spark, d):
+    """How many films have no suitability, a guessed one, or are fit for children."""
+    return q_age_rating(spark, d).agg(F.count("*").alias("films"), F.count_if(F.col("age").isNull()).alias("unrated"), F.count_if(~F.col("confident")).alias("estimated"), F.count_if("kid_friendly").alias("kid_friendly"))
+
+
 @query("SELECT id, CASE WHEN runtime_minutes < 90 THEN 'short' WHEN runtime_minutes < 120 THEN 'medium' WHEN runtime_minutes IS NOT NULL THEN 'long' END AS bucket, CASE WHEN runtime_minutes >= 60 THEN (runtime_minutes // 60) || ' h ' || (runtime_minutes % 60) || ' min' ELSE runtime_minutes || ' min' END AS label, CASE WHEN vote_count >= 20 THEN vote_average END AS score FROM title_dim")
 def q_runtime_score(spark, d):
     r = F.col("runtime_minutes")
