@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from marquee.session import checkpointed
 
-RARE = 2e-6
+RARE = 1e-5
 WORD_SHARE = 2e-5
 LEAST = 3
 ROUNDS = 3
