@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,13 +88,20 @@ def group_listings(listing: DataFrame, ids: DataFrame | None = None, threshold:
     comp = components(edges)
     placed = first.join(comp.select(F.col("v").alias("v0"), "root"), node("k", F.get(F.col("keys"), F.lit(0))) == F.col("v0")).drop("v0")
     near = pairs.join(comp.select(F.col("v").alias("v1"), F.col("root").alias("at")), node("k", F.col("a")) == F.col("v1")).groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("near"))
-
-    def replay(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(["venue_ord", "listing_ord", "listing_id"])
-        similar = {(p["a"], p["b"]) for ps in right["near"] for p in ps}
-        rows = [(i, list(k), None if pd.isna(e) else int(e)) for i, k, e in zip(left["listing_id"], left["keys"], left["external_id"])]
-        at = fold(rows, similar)
-        return pd.DataFrame({"sig": left["sig"], "entity": [rows[i][0] for i in at]})
-
-    sets = placed.groupBy("root").cogroup(near.groupBy("at")).applyInPandas(replay, "sig string, entity bigint")
-    return rows.join(sets, "sig", "left").select("listing_id", F.coalesce("entity", "listing_id").alias("entity"))
+    members = F.collect_list(F.struct("venue_ord", "listing_ord", "listing_id", "sig", "keys", "external_id"))
+    sets = placed.groupBy("root").agg(F.array_sort(members).alias("members")).where(F.size("members") > 1)
+    sets = sets.join(near, F.col("root") == F.col("at"), "left").select("members", F.coalesce("near", F.array().cast("array<struct<a:string,b:string>>")).alias("near"))
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for members, pairs in zip(batch["members"], batch["near"]):
+                similar = {(p["a"], p["b"]) for p in pairs}
+                at = fold([(m["listing_id"], list(m["keys"]), m["external_id"]) for m in members], similar)
+                out += [(m["sig"], members[i]["listing_id"]) for m, i in zip(members, at)]
+            yield pd.DataFrame(out, columns=["sig", "entity"])
+
+    sets = sets.mapInPandas(replay, "sig string, entity bigint")
+    alone = first.select("sig", F.col("listing_id").alias("own"))
+    rows = rows.join(alone, "sig", "left")
+    return rows.join(sets, "sig", "left").select("listing_id", F.coalesce("entity", "own", "listing_id").alias("entity"))

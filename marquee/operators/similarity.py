@@ -6,28 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marquee.functions.text import bigrams
 from marquee.session import checkpointed
 
 
-def keyed(df: DataFrame, key: str = "key") -> DataFrame:
-    """Distinct non-empty keys with their numbered bigrams: (key, grams, n, flat)."""
-    out = df.select(F.col(key).alias("key")).where("key is not null and key <> ''").distinct()
-    return out.withColumn("grams", bigrams(F.col("key"))).withColumn("n", F.size("grams")).withColumn("flat", F.replace("key", F.lit(" "), F.lit("")))
-
-
 def numbered(left: DataFrame, right: DataFrame | None) -> DataFrame:
-    """(side, id, key, flat, n, g): keys with a number, their bigrams as sorted ranks, the rarest first."""
-    both = keyed(left).withColumn("side", F.lit("a"))
-    if right is not None:
-        both = both.unionByName(keyed(right).withColumn("side", F.lit("b")))
-    both = checkpointed(both.withColumn("id", F.monotonically_increasing_id()))
-    freq = both.select(F.explode("grams").alias("x")).groupBy("x").agg(F.count("*").alias("f"))
+    """(side, id, key, flat, n, g): distinct non-empty keys with a number, their bigrams as sorted ranks, the rarest first.
+
+    The k-th same bigram of a key is a bigram of its own, so that a multiset is a set.
+    """
+    key = lambda df, side: df.select(F.col("key")).where("key is not null and key <> ''").distinct().withColumn("side", F.lit(side))
+    both = key(left, "a") if right is None else key(left, "a").unionByName(key(right, "b"))
+    flat = F.replace("key", F.lit(" "), F.lit(""))
+    both = checkpointed(both.withColumn("id", F.monotonically_increasing_id()).withColumn("flat", flat).withColumn("n", F.greatest(F.length("flat") - 1, F.lit(0))))
+    at = both.where("n > 0").select("id", "flat", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i")).select("id", F.substring("flat", F.col("i"), F.lit(2)).alias("x"))
+    each = checkpointed(at.groupBy("id", "x").agg(F.count("*").alias("c")).select("id", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"), "x"))
+    freq = each.groupBy("x", "k").agg(F.count("*").alias("f"))
     # as many rows as there are bigrams of the alphabet, each with a small number: one task ranks them
-    ranks = freq.select("x", F.row_number().over(W.orderBy("f", "x")).alias("rank"))
-    sets = both.select("id", F.explode("grams").alias("x")).join(ranks, "x").groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("g"))
-    none = F.array().cast("array<int>")
-    return checkpointed(both.select("side", "id", "key", "flat", "n").join(sets, "id", "left").withColumn("g", F.coalesce("g", none)))
+    ranks = freq.select("x", "k", F.row_number().over(W.orderBy("f", "x", "k")).alias("rank"))
+    sets = each.join(ranks, ["x", "k"]).groupBy("id").agg(F.array_sort(F.collect_list("rank")).alias("g"))
+    return checkpointed(both.join(sets, "id", "left").select("side", "id", "key", "flat", "n", F.coalesce("g", F.array().cast("array<int>")).alias("g")))
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.82) -> DataFrame:
