@@ -158,16 +158,16 @@ def q_union_fallback(spark, d):
     return live.unionByName(prev.join(live, "cinema_id", "left_anti"))
 
 
-HEALTH_SQL = f"""WITH runs AS (SELECT cinema_id, substring({RUN_SQL}, 1, 7) AS run, count(*) FILTER (WHERE raw_title IS NULL OR trim(raw_title) = '') * 25 > count(*) AS failed FROM listing GROUP BY 1, 2),
+HEALTH_SQL = f"""WITH runs AS (SELECT cinema_id, substring({RUN_SQL}, 1, 7) AS run, count(*) FILTER (WHERE poster_url IS NULL OR trim(poster_url) = '') * 2 > count(*) AS failed FROM listing GROUP BY 1, 2),
 grp AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY cinema_id ORDER BY run) AS island FROM runs),
 streak AS (SELECT cinema_id, run, failed, CASE WHEN failed THEN row_number() OVER (PARTITION BY cinema_id, island ORDER BY run) - CASE WHEN island > 0 THEN 1 ELSE 0 END ELSE 0 END AS failures FROM grp)"""
 
 
 def streaks(spark, d):
-    """Consecutive failures of every source and run: gaps and islands over the runs; a run fails if titles are missing."""
+    """Consecutive failures of every source and run: gaps and islands over the runs; a run fails if most posters are missing."""
     l = table(spark, d, "listing")
-    empty = F.col("raw_title").isNull() | (F.trim("raw_title") == "")
-    runs = l.groupBy("cinema_id", F.date_format(utc_wall(l, "fetched_at"), "yyyy-MM").alias("run")).agg((F.count_if(empty) * 25 > F.count("*")).alias("failed"))
+    empty = F.col("poster_url").isNull() | (F.trim("poster_url") == "")
+    runs = l.groupBy("cinema_id", F.date_format(utc_wall(l, "fetched_at"), "yyyy-MM").alias("run")).agg((F.count_if(empty) * 2 > F.count("*")).alias("failed"))
     order = W.partitionBy("cinema_id").orderBy("run")
     grp = runs.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(order))
     n = F.row_number().over(W.partitionBy("cinema_id", "island").orderBy("run"))
