@@ -7,7 +7,7 @@ from marquee.streaming import refresh
 
 PAGE = """<html><body><script>var x = '</p>';</script>
 <div class="movie-item"><h3><span>Novo</span>Velika trka</h3><img src="/p/1.jpg"><p><strong>Žanr:</strong>akcija, drama; <br>komedija</p><p><strong>Trajanje:</strong>101 min</p>
- <div class="day-wrapper" data-date="2026-08-19"><a class="perf" data-format="3D/SINH" data-hall="5" href="/s/1">18:00</a><a class="perf" href="https://t.example/numSale/index/">00:00</a></div>
+ <div class="day-wrapper" data-date="2026-08-19"><a class="perf" data-format="3D/SINH" data-hall="5" href="/s/1">18:00</a><a class="perf" href="https://t.example/sale/index/">00:00</a></div>
  <div class="day-wrapper" data-date="2026-09-30"><a class="perf" href="/s/9">20:00</a></div></div>
 <div class="movie-item"><h3>Bez termina</h3></div>
 <div class="movie-item"><h1>Tri &amp; po</h1><li class="tab">2026-08-20</li><li class="tab">2026-08-21</li><div class="pane"><a class="perf" href="/s/2">17:30</a></div><div class="pane"><a class="perf" href="/s/3">00:00</a></div></div>
