@@ -42,19 +42,17 @@ def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: fl
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
         keep = (F.col("n") - F.ceil(F.lit(t / (2 - t)) * F.col("n") - 1e-9) + 1).cast("int")
-        return df.where("n > 0").select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.posexplode(F.slice("g", F.lit(1), keep)).alias(f"i_{name}", "x"))
+        return df.where("n > 0").select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("g").alias(f"g_{name}"), F.posexplode(F.slice("g", F.lit(1), keep)).alias(f"i_{name}", "x"))
 
     joined = prefix(a, "a").join(prefix(b, "b"), "x")
     close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t / (2 - t)) - 1e-9
     joined = joined.where(close & (F.col("a") < F.col("b")) if right is None else close)
-    # the first meeting of a pair bounds its overlap
-    met = joined.groupBy("a", "b").agg(F.min("i_a").alias("i"), F.min("i_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    most = F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j"))
-    cand = met.where(2 * most >= t * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b")
-    side = lambda df, name: df.select(F.col("id").alias(name), F.col("g").alias(f"g_{name}"), F.col("n").alias(f"n_{name}"))
-    both = cand.join(side(a, "a"), "a").join(side(b, "b"), "b")
+    # a pair counts where it meets first, so it comes out once without a shuffle of pairs; what is left there bounds its overlap
+    most = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    before = F.arrays_overlap(F.slice("g_a", F.lit(1), F.col("i_a")), F.slice("g_b", F.lit(1), F.col("i_b")))
+    met = joined.where(2 * most >= t * (F.col("n_a") + F.col("n_b")) - 1e-9).where(~before)
     score = 2.0 * F.size(F.array_intersect("g_a", "g_b")) / (F.col("n_a") + F.col("n_b"))
-    near = both.select("a", "b", score.alias("score")).where(F.col("score") >= t)
+    near = met.select("a", "b", score.alias("score")).where(F.col("score") >= t)
     flat = a.select("flat", F.col("id").alias("a")).join(b.select("flat", F.col("id").alias("b")), "flat").select("a", "b", F.lit(1.0).alias("score"))
     found = near.unionByName(flat.where("a < b") if right is None else flat).groupBy("a", "b").agg(F.max("score").alias("score"))
     out = found.join(a.select(F.col("id").alias("a"), F.col("key").alias("ka")), "a").join(b.select(F.col("id").alias("b"), F.col("key").alias("kb")), "b")
