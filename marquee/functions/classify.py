@@ -28,14 +28,20 @@ def haystack(*labels: Column) -> Column:
     return F.lower(transliterate(F.concat_ws(" ", *[F.when(x != "", x) for x in labels])))
 
 
-def detect_audio(*labels: Column) -> Column:
-    """dubbed if a marker is anywhere, else subtitled if one is a word, else unknown."""
-    h = haystack(*labels)
+def audio_in(h: Column) -> Column:
+    """dubbed if a marker is anywhere in a haystack, else subtitled if one is a word, else unknown."""
     return F.when(h.rlike("|".join(DUBBED)), "dubbed").when(h.rlike(word("|".join(SUBTITLED))), "subtitled").otherwise("unknown")
 
 
+def detect_audio(*labels: Column) -> Column:
+    return audio_in(haystack(*labels))
+
+
 def detect_format(*labels: Column) -> Column:
-    h = haystack(*labels)
+    return format_in(haystack(*labels))
+
+
+def format_in(h: Column) -> Column:
     rules = [(word("4dx"), "4DX"), (word("imax"), "IMAX"), ("screen ?x", "ScreenX"), ("gold ?class", "Gold"), (word("vip"), "VIP"), (word("3d"), "3D")]
     return F.coalesce(*[F.when(h.rlike(p), v) for p, v in rules], F.lit("2D"))
 

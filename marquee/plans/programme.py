@@ -122,7 +122,10 @@ def q_cross_source_entities(spark, d):
 LEFT JOIN (SELECT {S.detect_audio('audio', 'language_tag')} AS audio, count(*) AS n FROM showtime GROUP BY 1) s USING (audio)""")
 def q_audio_distribution(spark, d):
     """Screenings by detected audio; classes without any are kept with 0."""
-    n = table(spark, d, "showtime").groupBy(classify.detect_audio(F.col("audio"), F.col("language_tag")).alias("audio")).agg(F.count("*").alias("n"))
+    # few distinct labels: counted first, told apart once each
+    labels = table(spark, d, "showtime").groupBy("audio", "language_tag").agg(F.count("*").alias("k"))
+    h = labels.select(classify.haystack(F.col("audio"), F.col("language_tag")).alias("h"), "k")
+    n = h.groupBy(classify.audio_in(F.col("h")).alias("audio")).agg(F.sum("k").alias("n"))
     dim = spark.createDataFrame([("dubbed",), ("subtitled",), ("original",), ("unknown",)], "audio string")
     return dim.join(n, "audio", "left").select("audio", F.coalesce("n", F.lit(0)).alias("showtimes"))
 
@@ -216,7 +219,8 @@ _titles("q_extract_year", "Years in titles.", lambda c: text.extract_year(c, 202
 
 @query(f"SELECT showtime_id, {S.detect_audio('audio', 'language_tag')} AS audio, {S.detect_format('format', 'language_tag')} AS format FROM showtime")
 def q_detect_audio_format(spark, d):
-    return table(spark, d, "showtime").select("showtime_id", classify.detect_audio(F.col("audio"), F.col("language_tag")).alias("audio"), classify.detect_format(F.col("format"), F.col("language_tag")).alias("format"))
+    h = table(spark, d, "showtime").select("showtime_id", classify.haystack(F.col("audio"), F.col("language_tag")).alias("a"), classify.haystack(F.col("format"), F.col("language_tag")).alias("f"))
+    return h.select("showtime_id", classify.audio_in(F.col("a")).alias("audio"), classify.format_in(F.col("f")).alias("format"))
 
 
 PARTS_SQL = "list_filter(string_split_regex(upper(c), '[^A-Z0-9]+'), lambda x: x <> '')"
