@@ -225,19 +225,39 @@ def q_source_notices(spark, d):
     return old.join(v, "cinema_id").groupBy("city_id").agg(F.count("*").alias("stale"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("venue_ord", line.alias("t")))), lambda e: e["t"]), ", ").alias("notice"))
 
 
+#: Bytes of screenings in a page; far below what the parser refuses.
+PAGE_BYTES = 1 << 20
+
+
+def programme_pages(s, most: int = PAGE_BYTES):
+    """(url, body): pages of a venue, film and day, in parts of about `most` bytes; texts are escaped."""
+    perf = F.concat(F.lit('<a class="perf" href="/show/'), F.col("showtime_id").cast("string"), F.lit('" data-format="'), links.escape_html(F.coalesce("format", F.lit(""))), F.lit('">'), links.escape_html(F.col("time")), F.lit("</a>"))
+    keys = ["cinema_id", "listing_id", "clean_title", "date"]
+    so_far = F.sum(F.octet_length("perf")).over(W.partitionBy(*keys).orderBy("showtime_id").rowsBetween(W.unboundedPreceding, 0))
+    parts = s.select(*keys, "showtime_id", perf.alias("perf")).withColumn("part", F.floor(so_far / most))
+    body = F.concat(F.lit('<div class="movie-item"><h3><span>Film</span>'), links.escape_html(F.col("clean_title")), F.lit('</h3><div class="day-wrapper" data-date="'), links.escape_html(F.col("date")), F.lit('">'), F.array_join("perfs", ""), F.lit("</div></div>"))
+    return parts.groupBy(*keys, "part").agg(F.collect_list("perf").alias("perfs")).select(F.col("cinema_id").alias("url"), body.alias("body"))
+
+
 @query(f"""SELECT cinema_id AS url, regexp_replace(trim({S.squeezed('clean_title')}), ' +', ' ', 'g') AS title, date, time, count(*) AS n FROM ({SHOWN.replace('SELECT s.*', 'SELECT s.*, l.clean_title').replace('FROM showtime s', 'FROM showtime s JOIN listing l USING (listing_id)').replace('JOIN dim_venue v USING (cinema_id)', 'JOIN dim_venue v ON v.cinema_id = s.cinema_id')})
 WHERE regexp_matches(clean_title, '^[A-Za-z0-9 :]+$') AND trim(clean_title) <> '' AND regexp_matches(time, '{PLAIN_TIME}') GROUP BY ALL""")
 def q_html_pages(spark, d):
-    """Pages made of the programme and parsed again: screenings per venue, title and time."""
+    """Pages made of the programme and parsed again: screenings per venue, title and time; titles of plain letters only, as its SQL says."""
     l = table(spark, d, "listing").select("listing_id", "clean_title").where(F.col("clean_title").rlike("^[A-Za-z0-9 :]+$") & (F.trim("clean_title") != ""))
     s = shown(spark, d).where(F.col("time").rlike(PLAIN_TIME)).join(l, "listing_id")
-    perf = F.concat(F.lit('<a class="perf" href="/show/'), F.col("showtime_id").cast("string"), F.lit('" data-format="'), F.coalesce("format", F.lit("")), F.lit('">'), "time", F.lit("</a>"))
-    day = s.groupBy("cinema_id", "listing_id", "clean_title", "date").agg(F.concat(F.lit('<div class="day-wrapper" data-date="'), F.first("date"), F.lit('">'), F.array_join(F.collect_list(perf), ""), F.lit("</div>")).alias("d"))
-    page = day.groupBy("cinema_id", "listing_id", "clean_title").agg(F.concat(F.lit('<div class="movie-item"><h3><span>Film</span>'), F.first("clean_title"), F.lit("</h3>"), F.array_join(F.collect_list("d"), ""), F.lit("</div>")).alias("body"))
-    parsed = html.parse_pages(page.select(F.col("cinema_id").alias("url"), "body"))
+    parsed = html.parse_pages(programme_pages(s))
     return parsed.groupBy("url", "title", "date", "time").agg(F.count("*").alias("n"))
 
 
+@query(f"""SELECT cinema_id AS url, {S.trimmed(S.squeezed('clean_title'))} AS title, date, time, count(*) AS n FROM ({SHOWN.replace('SELECT s.*', 'SELECT s.*, l.clean_title').replace('FROM showtime s', 'FROM showtime s JOIN listing l USING (listing_id)').replace('JOIN dim_venue v USING (cinema_id)', 'JOIN dim_venue v ON v.cinema_id = s.cinema_id')})
+WHERE {S.trimmed('clean_title')} <> '' AND regexp_matches(time, '{PLAIN_TIME}') GROUP BY ALL""")
+def q_html_pages_all(spark, d):
+    """As q_html_pages, with every title: marks, Cyrillic, signs and quotes are escaped and read back."""
+    l = table(spark, d, "listing").select("listing_id", "clean_title").where("clean_title is not null")
+    s = shown(spark, d).where(F.col("time").rlike(PLAIN_TIME)).join(l, "listing_id")
+    return html.parse_pages(programme_pages(s)).groupBy("url", "title", "date", "time").agg(F.count("*").alias("n"))
+
+
 @query("SELECT CAST(CAST(date_trunc('day', landed_at AT TIME ZONE 'UTC') AS DATE) AS VARCHAR) AS day, cinema_id, count(*) AS n FROM api_session GROUP BY 1, 2")
 def q_stream_counts(spark, d):
     """Landed sessions per day and venue, counted by a stream over event time with a watermark."""

@@ -8,6 +8,7 @@ standard library's, run in batches by the executors; there is no built-in for HT
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,6 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions.text import WS
+
+#: White space as the titles' functions have it, with U+FEFF.
+SPACES = re.compile(re.sub(r"\\x\{([0-9A-F]{4})\}", r"\\u\1", WS) + "+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -37,7 +42,7 @@ class Node:
         return [n for n in self.walk() if (tag is None or n.tag == tag) and (cls is None or cls in n.classes())]
 
     def text(self, without: str | None = None) -> str:
-        return " ".join("".join(k if isinstance(k, str) else "" if k.tag == without else k.text(without) for k in self.kids).split()) if self.tag not in ("script", "style") else ""
+        return SPACES.sub(" ", "".join(k if isinstance(k, str) else "" if k.tag == without else k.text(without) for k in self.kids)).strip(" ") if self.tag not in ("script", "style") else ""
 
 
 class _Tree(HTMLParser):

@@ -51,3 +51,16 @@ def test_recheck_and_joins(spark):
     assert enrich.venue_or_error(spark.createDataFrame([("a",)], "cinema_id string"), v).collect()[0]["city_id"] == "grad"
     with pytest.raises(Exception, match="unknown venue b"):
         enrich.venue_or_error(spark.createDataFrame([("b",)], "cinema_id string"), v).collect()
+
+
+def test_pages_keep_every_title_and_screening(spark):
+    from marquee.plans import publication
+    from marquee.sources import html
+
+    titles = ["Žuti <b>balon</b> & \"more\"", "Вукови - O'Neill &amp; sin", "Plain"]
+    rows = [(i * 100 + k, "c", i, t, "1. 6.", "18:00", '3D"<&') for i, t in enumerate(titles) for k in range(50)]
+    s = spark.createDataFrame(rows, "showtime_id bigint, cinema_id string, listing_id bigint, clean_title string, date string, time string, format string")
+    pages = publication.programme_pages(s, most=1000)
+    assert pages.count() > 9
+    got = html.parse_pages(pages, most=2000).collect()
+    assert {t: sum(r["title"] == t for r in got) for t in titles} == dict.fromkeys(titles, 50) and {r["code"] for r in got} == {'3D"<&'}
