@@ -210,9 +210,14 @@ class Lexicon:
         self.short = {p: next(iter(cs)) for p, cs in begin.items() if len(cs) == 1 and p not in self.concept}
 
     def expanded(self, concepts) -> frozenset[str]:
-        out: set[str] = set()
-        for c in concepts:
-            out |= self.same.get(c, {c})
+        out, todo, seen = set(), list(concepts), set()
+        while todo:
+            c = todo.pop()
+            if c in self.same and c not in seen:
+                seen.add(c)
+                todo += self.same[c]
+            else:
+                out.add(c)
         for pair, c in TOGETHER.items():
             if pair <= out:
                 out = out - pair | {c}
