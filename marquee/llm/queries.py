@@ -59,8 +59,8 @@ def p9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, sent_start, sent_end of every sentence unit."""
-    docs = documents(spark, sf_dir)
-    return sentences.split_documents(docs, sentences.train(docs))
+    scan = sentences.scan_documents(documents(spark, sf_dir))
+    return sentences.split_documents(scan, sentences.train(scan))
 
 
 def queries() -> dict:

@@ -1,8 +1,9 @@
 """Sentence units of texts in any language and script, by a hidden-event n-gram model.
 
-Layout comes first: blank lines, headings and list items end units. Inside a paragraph every gap that may hide
-a boundary (after sentence punctuation and what closes behind it, at a single line break, at a space of a
-script without sentence punctuation) is an event of a hidden-event language model over words: the event given
+Layout comes first: blank lines, headings (one line of at most HEADING characters without a sentence mark) and list
+items end units. Inside a paragraph every gap that may hide a boundary (after sentence punctuation and what closes
+behind it, at a single line break, at a space of a script without sentence punctuation, and between all words of a
+paragraph without any sentence mark) is an event of a hidden-event language model over words: the event given
 the words and punctuation to its left, and the words to its right given the event. Words are lower case,
 numbers are classes, rare words are one class; runs of a script without spaces count by their first and last
 characters. The model is trained on the corpus itself by expectation maximisation: the certain boundaries are
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from marquee.session import checkpointed
 
-RARE = 1e-5
+RARE = 2e-6
 WORD_SHARE = 2e-5
 LEAST = 3
 ROUNDS = 3
+HEADING = 100
 
 _LINE = regex.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 _BULLET = regex.compile(r"\s*(?:[-*+•‣▪◦●○∙·–—]|☐|☑|✓|→)[ \t ]+\S")
@@ -113,7 +115,7 @@ _UNSPACED = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
 
 def heading(line: str) -> bool:
     """A paragraph of one short line that no sentence punctuation ends."""
-    if len(line) > 100 or _UNSPACED.search(line):
+    if len(line) > HEADING or _UNSPACED.search(line):
         return False
     end = line.rstrip("”“»«\"’‘」』》)]）")
     return bool(end) and end[-1] not in _TERMINAL and end[-1] not in ",;" and not _INNER.search(line)
@@ -154,20 +156,40 @@ def _terminal(s: str) -> str:
 _GREEK = regex.compile(r"\p{Greek}")
 
 
-def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
-    """The gaps of a paragraph that may hide a boundary, in order."""
+WORDS = frozenset(("word", "num", "url", "run", "char"))
+#: Words from which a paragraph without any sentence mark has a gap between all of its words.
+UNMARKED = 20
+
+
+def _left(kind: str, s: str) -> str:
+    return "t:" + s[-6:] if kind == "run" else _class(kind, s)
+
+
+def scan(text: str, lines: list[tuple[int, int]]) -> tuple[list[Gap], tuple[str, str], tuple[str, str, str]]:
+    """Of a paragraph: the gaps that may hide a boundary, in order; its first two words; its last two words and mark.
+
+    A text is tokenised once, here. Only signs, line ends and runs are looked at one by one; words are classed where
+    a gap needs them. A paragraph of UNMARKED words or more without any sentence mark has a gap (`·`) between all words.
+    """
     first, last = lines[0][0], lines[-1][1]
     toks = [(m.lastgroup, m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, first, last)]
+    n = len(toks)
     body = text[first:last]
     cased = body.upper() != body and body.lower() != body
     starts = {a for a, _ in lines[1:]}
+    kinds = [t[0] for t in toks]
+    marked = "end" in kinds
+    look = [i for i, k in enumerate(kinds) if k not in WORDS]
+    if starts or "run" in kinds:
+        look = sorted({*look, *(i for i in range(n - 1) if kinds[i] in WORDS and (toks[i + 1][1] in starts or kinds[i + 1] == "run"))})
+    if not marked and n >= UNMARKED and sum(k in WORDS for k in kinds) >= UNMARKED:
+        look = range(n)
+        everywhere = True
+    else:
+        everywhere = False
     out: list[Gap] = []
     opened: list[tuple[str, str]] = []  # what closes it, and where it opened: 0 at a start, 1 after a colon, 2 elsewhere
-    words: list[str] = []
-    since = 0
-    n = len(toks)
-    i = 0
-    ended = True  # whether a unit may start here, as far as punctuation tells
+    since = 0  # token behind the gap before
 
     def right(j: int) -> tuple[str, str]:
         found = []
@@ -175,7 +197,7 @@ def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
             kind, _, _, s = toks[j]
             if s in _OPEN:
                 pass
-            elif s == "." and found and found[0][:2] == "<n" and j + 1 < n and toks[j + 1][0] == "word":
+            elif s == "." and found and found[0][:2] == "<n" and j + 1 < n and kinds[j + 1] == "word":
                 found.append("." + _class("word", toks[j + 1][3]))  # an ordinal and its noun
             elif kind == "run":
                 found.append("t:" + s[:6])
@@ -186,6 +208,26 @@ def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
             j += 1
         return (found + ["", ""])[0], (found + ["", ""])[1]
 
+    def left(i: int) -> tuple[str, str]:
+        """The last two words up to token i."""
+        found = []
+        while i >= 0 and len(found) < 2:
+            if kinds[i] in WORDS:
+                found.append(_left(kinds[i], toks[i][3]))
+            i -= 1
+        return (found + ["", ""])[1], (found + ["", ""])[0]
+
+    def started(i: int) -> bool:
+        """Whether a unit may start at token i, as far as punctuation tells."""
+        i -= 1
+        while i >= 0:
+            if kinds[i] == "end" or (toks[i][3] == ";" and i and kinds[i - 1] == "word" and _GREEK.match(toks[i - 1][3][-1])):
+                return True
+            if kinds[i] in WORDS or toks[i][3] in ":：":
+                return False
+            i -= 1
+        return True
+
     def case_of(j: int) -> str:
         kind, _, _, s = toks[j]
         if kind == "num":
@@ -195,46 +237,47 @@ def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
             return ("U" if c.isupper() else "L" if c.islower() else "X") if cased or c.upper() == c.lower() else "M"
         return "Q" if s in _OPEN else "X" if kind in ("run", "char") else "P"
 
-    def add(end: int, j: int, punct: str, w2: str, w: str) -> None:
+    def add(end: int, i: int, j: int, punct: str) -> None:
+        """A gap behind token i and before token j."""
         nonlocal since
         case = case_of(j)
-        r1, r2 = right(j)
-        out.append(Gap(end, toks[j][1], (w2, w, punct, case, r1, r2), first_guess(w2, w, punct, case), since))
-        since = 0
-
-    while i < n:
+        w2, w = left(i)
+        words = 0
+        while i >= since and words < 2:
+            words += kinds[i] in WORDS
+            i -= 1
+        out.append(Gap(end, toks[j][1], (w2, w, punct, case, *right(j)), first_guess(w2, w, punct, case), words))
+        since = j
+
+    upto = 0
+    for i in look:
+        if i < upto:
+            continue
         kind, s0, e0, s = toks[i]
+        upto = i + 1
+        if kind in WORDS:
+            if upto < n:
+                k2, s2 = kinds[upto], toks[upto][1]
+                if s2 in starts and k2 != "end":
+                    add(e0, i, upto, "⏎")
+                elif s2 > e0 and k2 == "run" and kind in ("run", "num", "char"):
+                    add(e0, i, upto, "␣")
+                elif everywhere and k2 in WORDS and (s2 > e0 or kind == "char"):
+                    add(e0, i, upto, "·␣" if s2 > e0 and kind == "char" else "·")
+            continue
         if s in _OPEN or s in _CLOSING:
             if opened and s in opened[-1][0] or (s in _CLOSING and any(s in o[0] for o in opened)):
                 while opened and s not in opened[-1][0]:
                     opened.pop()
                 opened.pop()
-                # closing without punctuation before it
             elif s in _OPEN:
-                before = text[first:s0].rstrip()[-1:] if not ended else ""
-                opened.append((_OPEN[s], "0" if ended else "1" if before in ":：" else "2"))
-            i += 1
-            if i < n and toks[i][1] in starts and s not in _OPEN:
-                add(e0, i, "⏎", words[-2] if len(words) > 1 else "", words[-1] if words else "")
+                fresh = started(i)
+                before = text[first:s0].rstrip()[-1:] if not fresh else ""
+                opened.append((_OPEN[s], "0" if fresh else "1" if before in ":：" else "2"))
+            if upto < n and toks[upto][1] in starts and s not in _OPEN:
+                add(e0, i, upto, "⏎")
             continue
-        if kind in ("word", "num", "url", "run", "char"):
-            if kind == "run":
-                words.append("t:" + s[-6:])
-            else:
-                words.append(_class(kind, s))
-            since += 1
-            ended = False
-            del words[:-3]
-            nxt = i + 1
-            if nxt < n:
-                k2, s2, _, t2 = toks[nxt]
-                if s2 in starts and k2 != "end":
-                    add(e0, nxt, "⏎", words[-2] if len(words) > 1 else "", words[-1])
-                elif s2 > e0 and k2 == "run" and kind in ("run", "num", "char"):
-                    add(e0, nxt, "␣", words[-2] if len(words) > 1 else "", words[-1])
-            i += 1
-            continue
-        greek = s == ";" and i and toks[i - 1][0] == "word" and _GREEK.match(toks[i - 1][3][-1])
+        greek = s == ";" and i and kinds[i - 1] == "word" and _GREEK.match(toks[i - 1][3][-1])
         if kind == "end" or greek:
             mark = "?" if greek else _terminal(s)
             end, j = e0, i + 1
@@ -251,36 +294,68 @@ def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
                     mark, end, j = _terminal(t2), e2, j + 1
                 else:
                     break
-            w2, w = (words[-2] if len(words) > 1 else ""), (words[-1] if words else "")
             if j < n:
                 k2, s2, _, t2 = toks[j]
                 spaced = s2 > end
-                take = t2 not in ",;:：，、；)]）" and not (k2 == "other" and t2 in _CLOSING and t2 not in _OPEN)
-                if take and not spaced:
-                    if mark == ".":
-                        left = toks[i - 1] if i else None
-                        take = k2 == "word" and bool(left) and (len(t2) > 1 or len(left[3]) > 2) and left[0] in ("word", "num", "other") and (t2[0].isupper() or not cased) and (left[0] != "num" or t2[0].isupper())
-                        # no initials, and letters alone only before a capitalised word
-                        take = take and (left[0] != "word" or len(left[3]) > 2 or (cased and not (len(left[3]) == 1 and left[3].isupper()) and t2[1:2].islower()))
-                        take = take or bool(closed and k2 in ("word",) and t2[0].isupper())
-                    elif mark in "!?…" and not closed:
-                        take = k2 in ("word", "num", "run", "char") or t2 in _OPEN
-                    elif mark in "。！？":
-                        take = True
+                # signs that go on with the sentence; behind anything else the model decides
+                if t2 not in ",;:：，、；)]）" and not (k2 == "other" and t2 in _CLOSING and t2 not in _OPEN):
+                    if spaced or mark in "。！？":
+                        tight = ""
                     else:
-                        take = k2 in ("word", "char", "num") and (k2 != "word" or t2[0].isupper())
-                if take:
-                    add(end, j, mark + ("”" + closed if closed else "") + ("" if spaced or mark in "。！？" else "∅"), w2, w)
-            ended = True
-            i = j
+                        tight = "∅" if _apart(toks, i, j, mark, closed, cased) else "∅∅"
+                    if tight != "∅∅" or k2 in WORDS:
+                        add(end, j - 1 if closed else i - 1, j, mark + ("”" + closed if closed else "") + tight)
+            upto = j
             continue
         # other punctuation
-        if s in ":：":
-            ended = False
-        i += 1
-        if i < n and toks[i][1] in starts and toks[i][0] != "end":
-            add(e0, i, s + "⏎" if s in ":：,;" else "⏎", words[-2] if len(words) > 1 else "", words[-1] if words else "")
-    return out
+        if upto < n and toks[upto][1] in starts and kinds[upto] != "end":
+            add(e0, i, upto, s + "⏎" if s in ":：,;" else "⏎")
+    return out, _start(toks), _end(toks)
+
+
+def _apart(toks: list[tuple], i: int, j: int, mark: str, closed: str, cased: bool) -> bool:
+    """Whether what stands right behind a mark looks like a sentence of its own and not like a part of a name or number."""
+    k2, _, _, t2 = toks[j]
+    if mark == ".":
+        left = toks[i - 1] if i else None
+        word = left is not None and left[0] == "word"
+        lone = word and len(left[3]) == 1 and left[3].isupper()
+        if closed and k2 == "word" and t2[0].isupper():
+            return True
+        if k2 != "word" or left is None or left[0] not in ("word", "num", "other") or not (t2[0].isupper() or not cased):
+            return False
+        if len(t2) == 1 and len(left[3]) <= 2 or left[0] == "num" and not t2[0].isupper():
+            return False
+        return not word or len(left[3]) > 2 or (cased and not lone and t2[1:2].islower())
+    if mark in "!?…" and not closed:
+        return k2 in WORDS or t2 in _OPEN
+    return k2 in ("word", "char", "num") and (k2 != "word" or t2[0].isupper())
+
+
+def _start(toks: list[tuple]) -> tuple[str, str]:
+    """The first two words."""
+    found: list[str] = []
+    some = [t for t in toks[:12] if t[3] not in _OPEN]  # what stands before the third word, quotes left out
+    if len(some) > 2 and some[0][0] == "num" and some[1][3] == "." and some[2][0] == "word":
+        return _class("num", some[0][3]), "." + _class("word", some[2][3])
+    for kind, _, _, s in some[:3]:
+        found += ["t:" + s[:6]] + (["t:" + s[6:11]] if len(s) > 6 else []) if kind == "run" else [_class(kind, s)]
+    return (found + ["", ""])[0], (found + ["", ""])[1]
+
+
+def _end(toks: list[tuple]) -> tuple[str, str, str]:
+    """The last two words and the mark behind them; no mark where none is certain."""
+    if toks and toks[-1][0] == "end":
+        ws = [_left(k, s) for k, _, _, s in toks[-4:-1] if k in WORDS]
+        return ws[-2] if len(ws) > 1 else "", ws[-1] if ws else "", _terminal(toks[-1][3])
+    if toks and toks[-1][0] == "run":
+        return "t:" + toks[-2][3][-6:] if len(toks) > 1 and toks[-2][0] == "run" else "", "t:" + toks[-1][3][-6:], "␣"
+    return "", "", ""
+
+
+def gaps(text: str, lines: list[tuple[int, int]]) -> list[Gap]:
+    """The gaps of a paragraph that may hide a boundary, in order."""
+    return scan(text, lines)[0]
 
 
 def first_guess(w2: str, w: str, punct: str, case: str) -> float:
@@ -290,6 +365,10 @@ def first_guess(w2: str, w: str, punct: str, case: str) -> float:
         return 0.02
     if "⏎" in punct:
         return {"U": 0.4, "L": 0.02, "M": 0.15, "D": 0.2}.get(case, 0.3)
+    if mark == "·":
+        return 0.3 if punct == "·␣" else 0.08 if case == "U" and w == w.lower() and w[:1] != "<" else 0.005
+    if punct.endswith("∅∅"):
+        return 0.01
     if mark == "␣":
         return 0.2 if w.startswith("<n") else 0.6
     low = case == "L"
@@ -319,26 +398,6 @@ def first_guess(w2: str, w: str, punct: str, case: str) -> float:
     return 0.93 if len(w) > 3 else 0.75
 
 
-def certain(text: str, lines: list[tuple[int, int]]) -> tuple[tuple[str, str], tuple[str, str, str]] | None:
-    """The start (two words) and the end (two words, punctuation) of a paragraph that ends with sentence punctuation."""
-    toks = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(text, lines[0][0], min(lines[0][1], lines[0][0] + 200))]
-    start: list[str] = []
-    toks = [x for x in toks if x[1] not in _OPEN]
-    if len(toks) > 2 and toks[0][0] == "num" and toks[1][1] == "." and toks[2][0] == "word":
-        toks[1:3] = [("other", "." + _class("word", toks[2][1]))]
-    for kind, s in toks[:3]:
-        start += ["t:" + s[:6]] + (["t:" + s[6:11]] if len(s) > 6 else []) if kind == "run" else [_class(kind, s)]
-    a, b = lines[-1]
-    tail = [(m.lastgroup, m[0]) for m in _TOKEN.finditer(text, max(a, b - 120), b)]
-    end = None
-    if tail and tail[-1][0] == "end":
-        ws = [("t:" + s[-6:]) if k == "run" else _class(k, s) for k, s in tail[-4:-1] if k in ("word", "num", "url", "run", "char")]
-        end = ((ws + ["", ""])[-2] if len(ws) > 1 else "", ws[-1] if ws else "", _terminal(tail[-1][1]))
-    elif tail and tail[-1][0] == "run":
-        end = ("t:" + tail[-2][1][-6:] if len(tail) > 1 and tail[-2][0] == "run" else "", "t:" + tail[-1][1][-6:], "␣")
-    return ((start + ["", ""])[0], (start + ["", ""])[1]), end or ("", "", "")
-
-
 @dataclass
 class Model:
     """Counts of the hidden-event model; `event` by left context, `after` by event and right context."""
@@ -365,6 +424,16 @@ class Model:
             got = self._memo[key] = self._log_odds(key, guess)
         return got
 
+    def odds_of(self, pattern: str) -> float:
+        """Log odds of the gap of a pattern."""
+        got = self._memo.get(pattern)
+        if got is None:
+            if len(self._memo) > 300_000:
+                self._memo.clear()
+            _, key, guess = read_pattern(pattern)
+            got = self._memo[pattern] = self._log_odds(key, guess)
+        return got
+
     def _log_odds(self, key: tuple, guess: float) -> float:
         w2, w, punct, case, r1, r2 = key
         w2, w, r1, r2 = map(self.known, (w2, w, r1, r2))
@@ -426,7 +495,7 @@ def observe(model: Model, rows: list[tuple], hard: bool = False) -> dict[tuple,
             out[("U", x)] += n
             out[("U", y)] += n
             # starts of paragraphs stand behind every mark that can end one
-            marks = [punct[0]] if kind == "gap" else [".", "!", "?", "…", "。", "।", "␣", "⏎"]
+            marks = [punct[0]] if kind == "gap" else [".", "!", "?", "…", "。", "।", "␣", "⏎", "·"]
             for mark in marks:
                 m = mark + script(r1)
                 for e, q in (("B", post), ("N", 1 - post)) if kind == "gap" else (("B", 1.0),):
@@ -455,15 +524,16 @@ def build(vocabulary: frozenset[str], counts: list[tuple[tuple, float]]) -> Mode
 SHORT = -1.5
 
 
-def decide(model: Model, found: list[Gap]) -> list[bool]:
-    """Whether each gap of a paragraph is a boundary: posterior above one half by forward-backward."""
-    if not found:
-        return []
-    odds = [max(-30.0, min(30.0, model.log_odds(g.key, g.guess))) for g in found]
-    if not any(g.words <= 1 for g in found[1:]):
+def decide(odds: list[float], words: list[int]) -> list[bool]:
+    """Whether each gap of a paragraph is a boundary: posterior above one half by forward-backward.
+
+    odds: log odds of each gap by its contexts; words: how many words stand between it and the gap before (2: or more).
+    """
+    odds = [max(-30.0, min(30.0, o)) for o in odds]
+    if not any(w <= 1 for w in words[1:]):  # then no gap depends on another
         return [o > 0 for o in odds]
-    k = len(found)
-    pair = [0.0] + [math.exp(SHORT) if g.words <= 1 else 1.0 for g in found[1:]]
+    k = len(odds)
+    pair = [0.0] + [math.exp(SHORT) if w <= 1 else 1.0 for w in words[1:]]
     f = [(1.0, math.exp(odds[0]))]
     for i in range(1, k):
         a, b = f[-1]
@@ -481,67 +551,87 @@ def decide(model: Model, found: list[Gap]) -> list[bool]:
     return out
 
 
-def units(model: Model, text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of the sentence units of a text."""
-    if text is None:
-        return []
-    out: list[tuple[int, int]] = []
-    for kind, lines in layout(text):
-        if kind == "line":
-            out.append(lines[0])
-            continue
-        start = lines[0][0]
-        found = gaps(text, lines)
-        for g, yes in zip(found, decide(model, found)):
-            if yes:
-                out.append((start, g.end))
-                start = g.start
-        out.append((start, lines[-1][1]))
-    return out
+#: A document as its layout and gaps: spans of units by layout, and of paragraphs with their number of gaps, both flat; the
+#: gaps' ends, starts, words and patterns; patterns of the certain starts and ends of paragraphs.
+SCANNED = "key bigint, lines array<int>, paragraphs array<int>, gap_end array<int>, gap_start array<int>, gap_words array<int>, patterns array<string>, certain array<string>"
 
 
-PATTERNS = "w2 string, w string, punct string, case string, r1 string, r2 string, guess double, kind string, n bigint"
+def scanned(key, text: str) -> tuple:
+    """The row of SCANNED of a text."""
+    lines: list[int] = []
+    paragraphs: list[int] = []
+    found: list[Gap] = []
+    certain: list[str] = []
+    for kind, spans in layout(text):
+        if kind == "line":
+            lines += spans[0]
+            continue
+        new, start, end = scan(text, spans)
+        paragraphs += (spans[0][0], spans[-1][1], len(new))
+        found += new
+        certain.append("\t".join(("start", "", "", "", "", *start)))
+        if end[2]:
+            certain.append("\t".join(("end", *end, "", "", "")))
+    return key, lines, paragraphs, [g.end for g in found], [g.start for g in found], [g.words for g in found], ["\t".join(("gap", *g.key)) for g in found], certain
+
+
+def units_of(row: tuple, model: Model) -> list[tuple[int, int]]:
+    """(start, end) of the sentence units of a scanned document, in order."""
+    _, lines, paragraphs, ends, starts, words, keys, _ = row
+    out = [(int(lines[i]), int(lines[i + 1])) for i in range(0, len(lines), 2)]
+    at = 0
+    for i in range(0, len(paragraphs), 3):
+        start, end, n = paragraphs[i : i + 3]
+        if n:
+            for g, yes in enumerate(decide([model.odds_of(k) for k in keys[at : at + n]], list(words[at : at + n])), at):
+                if yes:
+                    out.append((int(start), int(ends[g])))
+                    start = starts[g]
+        out.append((int(start), int(end)))
+        at += n
+    return sorted(out)
 
 
-def patterns_of(texts) -> Counter:
-    out: Counter = Counter()
-    for t in texts:
-        if t is None:
-            continue
-        for kind, lines in layout(t):
-            if kind != "text":
-                continue
-            (a, b), end = certain(t, lines)
-            out["", "", "", "", a, b, 1.0, "start"] += 1
-            if end[2]:
-                out[end[0], end[1], end[2], "", "", "", 1.0, "end"] += 1
-            for g in gaps(t, lines):
-                out[(*g.key, g.guess, "gap")] += 1
-    return out
+def units(model: Model, text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of the sentence units of a text."""
+    return [] if text is None else units_of(scanned(None, text), model)
 
 
-def patterns(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct patterns of gaps with their number over the corpus."""
+def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents of non-null text as SCANNED rows: texts are laid out and tokenised once, for training and decision."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["w2", "w", "punct", "case", "r1", "r2", "guess", "kind", "n"]
-        seen: Counter = Counter()
+        cols = [c.split()[0] for c in SCANNED.split(", ")]
         for b in batches:
-            seen.update(patterns_of(b["text"]))
-            if len(seen) > 200_000:
-                yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=cols)
-                seen = Counter()
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=cols)
+            rows, held = [], 0
+            for k, t in zip(b["key"], b["text"]):
+                rows.append(scanned(k, t))
+                held += len(rows[-1][3])
+                if held > 20_000:
+                    yield pd.DataFrame(rows, columns=cols).astype({"key": "Int64"})
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=cols).astype({"key": "Int64"})
 
-    found = docs.select(F.col(text).alias("text")).where("text is not null").mapInPandas(run, PATTERNS)
-    return found.groupBy("w2", "w", "punct", "case", "r1", "r2", "guess", "kind").agg(F.sum("n").alias("n"))
+    return checkpointed(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, SCANNED))
 
 
-def train(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """The model of a corpus, by `rounds` of expectation maximisation over the distinct patterns."""
-    table = checkpointed(patterns(docs, text))
+def patterns(scan: DataFrame) -> DataFrame:
+    """(pattern, n): distinct patterns of gaps, starts and ends with their number over the corpus, counted in the JVM."""
+    return scan.select(F.explode(F.concat("patterns", "certain")).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+def read_pattern(pattern: str) -> tuple[str, tuple[str, ...], float]:
+    """(kind, key, first guess) of a pattern."""
+    kind, *key = pattern.split("\t")
+    return kind, tuple(key), first_guess(*key[:4]) if kind == "gap" else 1.0
+
+
+def train(scan: DataFrame, rounds: int = ROUNDS) -> Model:
+    """The model of scanned documents, by `rounds` of expectation maximisation over the distinct patterns."""
+    table = checkpointed(patterns(scan))
     total = table.agg(F.sum("n")).collect()[0][0] or 0
-    words = table.select(F.explode(F.array("w2", "w", "r1", "r2")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    parts = F.split("pattern", "\t")
+    words = table.select(F.explode(F.array(*[F.get(parts, F.lit(i)) for i in (1, 2, 5, 6)])).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
     vocabulary = frozenset(r["word"] for r in words.where(F.col("n") >= max(LEAST, total * WORD_SHARE)).select("word").collect())  # at most 4 / WORD_SHARE words
     model = Model(vocabulary)
     for _ in range(rounds):
@@ -555,27 +645,33 @@ def _round(table: DataFrame, model: Model, total: int) -> Model:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: Counter = Counter()
         for b in batches:
-            out.update(observe(sent.value, list(b.itertuples(index=False, name=None))))
+            rows = []
+            for pattern, n in zip(b["pattern"], b["n"]):
+                kind, key, guess = read_pattern(pattern)
+                rows.append((*key, guess, kind, n))
+            out.update(observe(sent.value, rows))
         yield pd.DataFrame([("\t".join(k), v) for k, v in out.items()], columns=["key", "n"])
 
-    cols = ["w2", "w", "punct", "case", "r1", "r2", "guess", "kind", "n"]
-    sums = table.select(*cols).mapInPandas(run, "key string, n double").groupBy("key").agg(F.sum("n").alias("n"))
+    sums = table.mapInPandas(run, "key string, n double").groupBy("key").agg(F.sum("n").alias("n"))
     kept = sums.where(F.col("n") >= max(0.3, total * RARE)).collect()  # a gap adds to 18 sums: at most 18 / RARE of them, in practice far fewer
     return build(model.vocabulary, [(tuple(r["key"].split("\t")), r["n"]) for r in kept])
 
 
-def split_documents(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sent_start, sent_end) of every unit of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def split_documents(scan: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """(key, sent_start, sent_end) of every unit of every scanned document."""
+    sent = scan.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows: list[tuple] = []
-            for k, t in zip(b["key"], b["text"]):
-                rows += [(k, s, e) for s, e in units(sent.value, t)]
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["key", "sent_start", "sent_end"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["key", "sent_start", "sent_end"])
-
-    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("text is not null").mapInPandas(run, "key bigint, sent_start int, sent_end int").withColumnRenamed("key", key)
+            keys, starts, ends = [], [], []
+            for row in b.itertuples(index=False, name=None):
+                found = units_of(row, sent.value)
+                keys += [row[0]] * len(found)
+                starts += [a for a, _ in found]
+                ends += [e for _, e in found]
+                if len(keys) > 50_000:
+                    yield pd.DataFrame({"key": pd.array(keys, "Int64"), "sent_start": starts, "sent_end": ends})
+                    keys, starts, ends = [], [], []
+            yield pd.DataFrame({"key": pd.array(keys, "Int64"), "sent_start": pd.array(starts, "int32"), "sent_end": pd.array(ends, "int32")})
+
+    return scan.mapInPandas(run, "key bigint, sent_start int, sent_end int").withColumnRenamed("key", key)

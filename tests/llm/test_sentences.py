@@ -5,7 +5,7 @@ from marquee.llm import sentences as S
 
 @pytest.fixture(scope="module")
 def model(spark, small):
-    return S.train(spark.read.parquet(f"{small}/documents.parquet"))
+    return S.train(S.scan_documents(spark.read.parquet(f"{small}/documents.parquet")))
 
 
 def cut(model, text):
@@ -72,25 +72,40 @@ def test_forward_backward_equals_enumeration():
 
     rnd = random.Random(4)
 
-    class Fixed:
-        def log_odds(self, key, guess):
-            return key
-
     for _ in range(100):
-        gaps = [S.Gap(0, 0, rnd.uniform(-2, 2), 0.5, rnd.choice([0, 1, 5])) for _ in range(rnd.randint(1, 6))]
-        post = [0.0] * len(gaps)
+        k = rnd.randint(1, 6)
+        odds, words = [rnd.uniform(-2, 2) for _ in range(k)], [rnd.choice([0, 1, 2]) for _ in range(k)]
+        post = [0.0] * k
         z = 0.0
-        for bits in itertools.product((0, 1), repeat=len(gaps)):
-            w = math.exp(sum(g.key for g, b in zip(gaps, bits) if b) + sum(S.SHORT for i in range(1, len(gaps)) if bits[i] and bits[i - 1] and gaps[i].words <= 1))
+        for bits in itertools.product((0, 1), repeat=k):
+            w = math.exp(sum(o for o, b in zip(odds, bits) if b) + sum(S.SHORT for i in range(1, k) if bits[i] and bits[i - 1] and words[i] <= 1))
             z += w
             for i, b in enumerate(bits):
                 post[i] += w * b
-        assert S.decide(Fixed(), gaps) == [p / z > 0.5 for p in post]
+        assert S.decide(odds, words) == [p / z > 0.5 for p in post]
+
+
+def test_unmarked_texts_have_gaps_between_all_words():
+    """Latin, Han and Thai alike; texts with marks have them at the marks only."""
+    latin = " ".join("voda teče polako ispod starog mosta pored grada uveče".split() * 5)
+    assert len(S.gaps(latin, [(0, len(latin))])) == 44
+    han = "今天天气很好我们去看电影了他说这部电影非常有意思大家都很喜欢"
+    assert len(S.gaps(han, [(0, len(han))])) == len(han) - 1
+    marked = latin + ". " + latin + "."
+    assert len(S.gaps(marked, [(0, len(marked))])) == 1
+
+
+def test_long_ends_and_starts_are_read_whole():
+    """The certain start and end of a paragraph do not depend on how long its words are."""
+    long = "a" * 500
+    text = f"{long} {long} kraj."
+    _, start, end = S.scan(text, [(0, len(text))])
+    assert start == (long, long) and end == (long, "kraj", ".")
 
 
 def test_documents(spark, model):
     df = spark.createDataFrame([(1, "Prva. Druga.", 5), (2, None, 5), (3, "", 5), (1, "Prva. Druga.", 5), (None, "Treća.", 5)], "doc_id bigint, text string, sent_start int")
-    got = [tuple(r) for r in S.split_documents(df, model).collect()]
+    got = [tuple(r) for r in S.split_documents(S.scan_documents(df), model).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 5), (1, 6, 12)] * 2 + [(None, 0, 6)], key=str)
-    none = df.where("false")
+    none = S.scan_documents(df.where("false"))
     assert S.split_documents(none, S.train(none)).count() == 0
