@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.functions.text import serbian_latin
+
 
 def safe_url(c: Column) -> Column:
     """The address without line breaks and tabs if it is relative or http, https or mailto; else null."""
@@ -73,6 +75,11 @@ def query_string(city: Column, default_city: str, dubbed: Column, kids: Column)
 
 
 def escape_html(c: Column) -> Column:
+    """Text as a page shows it: in Serbian Latin, with its signs escaped."""
+    return escape_markup(serbian_latin(c))
+
+
+def escape_markup(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.functions.text import clean_title, normalize_title, tidy_title, trimmed
+from marquee.session import join_small
 
 DOMESTIC = ["RS", "SRB", "SR"]
 
@@ -29,18 +30,32 @@ def display_title(ordered: Column) -> Column:
     return F.coalesce(F.aggregate(ordered, F.lit(None).cast("string"), pick), F.lit("Nepoznat film"))
 
 
+def ordered_union(rows: DataFrame, group: str, items: str, order: list[str]) -> DataFrame:
+    """(group, items): the distinct non-null elements of an array column over the rows of a group, as they first appear.
+
+    Elements are made distinct before they are collected, so a group of very many rows stays as small as its set.
+    """
+    each = rows.select(group, *order, F.posexplode(items).alias("_i", "_x")).where("_x is not null")
+    first = each.groupBy(group, "_x").agg(F.min(F.struct(*order, "_i")).alias("_o"))
+    return first.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_x"))), lambda e: e["_x"]).alias(items))
+
+
 def merge_records(listing: DataFrame, group: str, venue: DataFrame) -> DataFrame:
-    """One row per group with the values picked from its listings, most trusted venue first."""
-    trust = F.broadcast(venue.select("cinema_id", "trust_rank").dropDuplicates(["cinema_id"]).limit(100_000))
-    rows = listing.drop("trust_rank").join(trust, "cinema_id", "left").where(F.col(group).isNotNull())
+    """One row per group with the values picked from its listings, length and original title from the most trusted venue first.
+
+    The display title depends on the order of all titles and cannot be combined from parts, so the titles of a group
+    meet in one row, as do the candidates of the original title (texts only, distinct ones of a venue's listing).
+    """
+    trust = venue.groupBy("cinema_id").agg(F.min("trust_rank").alias("trust_rank"))
+    rows = join_small(listing.drop("trust_rank"), trust, "cinema_id").where(F.col(group).isNotNull())
     by_trust = F.struct(F.coalesce("trust_rank", F.lit(1 << 30)).alias("t"), "venue_ord", "listing_ord", "listing_id")
     by_order = F.struct("venue_ord", "listing_ord", "listing_id")
     some = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
     cleaned = clean_title(F.col("raw_title"))
     title = F.when(cleaned != "", cleaned).otherwise(trimmed(F.col("raw_title")))
     agg = rows.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct(by_order.alias("o"), title.alias("v"), F.col("genres").alias("g"), F.col("raw_title").alias("r")))).alias("x"),
-        first_by(F.col("poster_url"), by_trust, some("poster_url")).alias("poster_url"),
+        F.array_sort(F.collect_list(F.struct(by_order.alias("o"), title.alias("v")))).alias("x"),
+        first_by(F.col("poster_url"), by_order, some("poster_url")).alias("poster_url"),
         first_by(F.col("runtime_minutes"), by_trust, F.col("runtime_minutes") > 0).alias("runtime_minutes"),
         first_by(F.col("synopsis"), by_order, some("synopsis")).alias("synopsis"),
         F.array_sort(F.collect_list(F.struct(by_trust.alias("o"), tidy_title(F.col("original_title")).alias("v"), tidy_title(F.col("clean_title")).alias("c")))).alias("originals"),
@@ -48,12 +63,11 @@ def merge_records(listing: DataFrame, group: str, venue: DataFrame) -> DataFrame
         F.countDistinct("cinema_id").alias("cinemas"),
     )
     shown = display_title(F.filter(F.transform("x", lambda e: e["v"]), lambda v: v.isNotNull() & (v != "")))
-    genres = F.array_distinct(F.filter(F.flatten(F.filter(F.transform("x", lambda e: e["g"]), lambda g: g.isNotNull())), lambda g: g.isNotNull()))
-    out = agg.withColumn("title", shown).withColumn("genres", genres).withColumn("aliases", F.array_distinct(F.filter(F.transform("x", lambda e: e["r"]), lambda r: r.isNotNull())))
     other = F.filter(F.concat(F.transform("originals", lambda e: e["v"]), F.transform("originals", lambda e: e["c"])), lambda v: v.isNotNull() & (v != ""))
-    key = normalize_title(F.col("title"))
-    out = out.withColumn("key", key).withColumn("original_title", F.get(F.filter(other, lambda v: normalize_title(v) != F.col("key")), F.lit(0)))
-    return out.drop("x", "originals", "key")
+    out = agg.withColumn("title", shown).withColumn("originals", other)
+    out = out.withColumn("key", normalize_title(F.col("title"))).withColumn("original_title", F.get(F.filter("originals", lambda v: normalize_title(v) != F.col("key")), F.lit(0)))
+    genres = ordered_union(rows, group, "genres", ["venue_ord", "listing_ord", "listing_id"])
+    return out.drop("x", "key").join(genres, group, "left").withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
 
 
 def domestic_audio(audio: Column, flag: Column, group: str) -> Column:

@@ -78,15 +78,15 @@ def group_listings(listing: DataFrame, ids: DataFrame | None = None, threshold:
     rows = rows.join(ids.select("listing_id", "external_id"), "listing_id", "left") if ids is not None else rows.withColumn("external_id", F.lit(None).cast("bigint"))
     rows = checkpointed(rows.withColumn("sig", F.to_json(F.struct("keys", "external_id"))))
     first = rows.groupBy("sig").agg(F.min_by(F.struct("listing_id", "keys", "external_id", "venue_ord", "listing_ord"), F.struct("venue_ord", "listing_ord", "listing_id")).alias("x")).select("sig", "x.*")
-    first = checkpointed(first.where(F.size("keys") > 0))
+    first = checkpointed(first.where((F.size("keys") > 0) | F.col("external_id").isNotNull()))
     keys = first.select("sig", "external_id", F.explode("keys").alias("key"))
     pairs = checkpointed(similar_pairs(keys, threshold=threshold))
     node = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
-    sigs = first.select(F.col("sig").alias("s"), F.get("keys", F.lit(0)).alias("k0"), "keys", "external_id")
-    edges = sigs.select(node("k", F.col("k0")).alias("a"), F.explode(F.concat(F.transform("keys", lambda k: node("k", k)), F.when(F.col("external_id").isNotNull(), F.array(node("x", F.col("external_id")))).otherwise(F.array().cast("array<string>")))).alias("b"))
+    anchor = F.coalesce(node("k", F.get(F.col("keys"), F.lit(0))), node("x", F.col("external_id")))
+    edges = first.select(anchor.alias("a"), F.explode(F.concat(F.transform("keys", lambda k: node("k", k)), F.when(F.col("external_id").isNotNull(), F.array(node("x", F.col("external_id")))).otherwise(F.array().cast("array<string>")))).alias("b"))
     edges = edges.union(pairs.select(node("k", F.col("a")), node("k", F.col("b"))))
     comp = components(edges)
-    placed = first.join(comp.select(F.col("v").alias("v0"), "root"), node("k", F.get(F.col("keys"), F.lit(0))) == F.col("v0")).drop("v0")
+    placed = first.join(comp.select(F.col("v").alias("v0"), "root"), anchor == F.col("v0")).drop("v0")
     near = pairs.join(comp.select(F.col("v").alias("v1"), F.col("root").alias("at")), node("k", F.col("a")) == F.col("v1")).groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("near"))
     members = F.collect_list(F.struct("venue_ord", "listing_ord", "listing_id", "sig", "keys", "external_id"))
     sets = placed.groupBy("root").agg(F.array_sort(members).alias("members")).where(F.size("members") > 1)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from marquee.plans import general, publication
+from marquee.plans import assembly, general, publication
 
 
 def queries() -> dict:
-    return {**publication.QUERIES, **general.queries()}
+    return {**publication.QUERIES, **assembly.QUERIES, **general.queries()}
 
 
 def oracle_sql() -> dict:
-    return dict(publication.SQL)
+    return {**publication.SQL, **assembly.SQL}

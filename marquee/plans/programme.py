@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.functions import classify, links, temporal, text
-from marquee.operators import merge, resolve, similarity
+from marquee.operators import merge, similarity
 from marquee.plans import sql as S
 from marquee.session import table, utc_wall
 
@@ -182,20 +182,32 @@ def q_streak(spark, d):
     return streaks(spark, d)
 
 
-@query(HEALTH_SQL + " SELECT cinema_id, max(failures) AS worst, count(*) AS runs FROM streak WHERE failures >= 2 GROUP BY 1")
+NOW_SQL = HEALTH_SQL + ", cur AS (SELECT cinema_id, arg_max(failures, run) AS failures, max(run) AS run FROM streak GROUP BY 1)"
+
+
+def current_streaks(spark, d):
+    """(cinema_id, failures, run) of every source's newest run."""
+    return streaks(spark, d).groupBy("cinema_id").agg(F.max_by("failures", "run").alias("failures"), F.max("run").alias("run"))
+
+
+@query(NOW_SQL + " SELECT cinema_id, failures, run FROM cur WHERE failures >= 2")
 def q_degraded(spark, d):
-    """Sources that failed at least twice in a row."""
-    return streaks(spark, d).where("failures >= 2").groupBy("cinema_id").agg(F.max("failures").alias("worst"), F.count("*").alias("runs"))
+    """Sources whose newest runs failed at least twice in a row."""
+    return current_streaks(spark, d).where("failures >= 2")
 
 
-@query(HEALTH_SQL + """, bad AS (SELECT v.venue_ord, v.name || ': ' || max(failures) || '. uzastopni neuspeh' AS line FROM streak JOIN dim_venue v USING (cinema_id) WHERE failures >= 1 GROUP BY v.venue_ord, v.name)
-SELECT count(*) AS degraded, coalesce(string_agg('- ' || line, chr(10) ORDER BY venue_ord), '') AS body FROM bad""")
+@query(NOW_SQL + """, bad AS (SELECT v.venue_ord, v.name || ': ' || failures || '. uzastopni neuspeh' AS line FROM cur JOIN dim_venue v USING (cinema_id) WHERE failures >= 2)
+SELECT count(*) AS degraded, CASE WHEN count(*) = 0 THEN 'Svi izvori su uspešno osveženi.' ELSE count(*) || ' od ' || (SELECT count(*) FROM cur) || ' izvora nije uspelo da osveži podatke:' || chr(10) || chr(10) || string_agg('- ' || line, chr(10) ORDER BY venue_ord) END AS body FROM bad""")
 def q_alert_body(spark, d):
-    """The text of an alert: one line per failing source, in the order of the venues."""
+    """The text of an alert: how many of all sources keep failing, and a line for each in the order of the venues."""
     v = table(spark, d, "dim_venue").select("cinema_id", "venue_ord", "name")
-    bad = streaks(spark, d).where("failures >= 1").groupBy("cinema_id").agg(F.max("failures").alias("n")).join(F.broadcast(v), "cinema_id")
-    line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.col("n").cast("string"), F.lit(". uzastopni neuspeh"))
-    return bad.agg(F.count("*").alias("degraded"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("venue_ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    cur = current_streaks(spark, d)
+    line = F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.col("failures").cast("string"), F.lit(". uzastopni neuspeh"))
+    bad = F.when(F.col("failures") >= 2, F.struct("venue_ord", line.alias("line")))
+    # a row per venue, a fixed dimension
+    x = cur.join(F.broadcast(v), "cinema_id").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(bad)).alias("x"))
+    text_ = F.concat(F.size("x").cast("string"), F.lit(" od "), F.col("total").cast("string"), F.lit(" izvora nije uspelo da osveži podatke:\n\n"), F.array_join(F.transform("x", lambda e: e["line"]), "\n"))
+    return x.select(F.size("x").cast("bigint").alias("degraded"), F.when(F.size("x") == 0, "Svi izvori su uspešno osveženi.").otherwise(text_).alias("body"))
 
 
 # ---- text ---------------------------------------------------------------------------------------------------------------
@@ -255,12 +267,6 @@ def q_dice_pairs(spark, d):
     return similarity.similar_pairs(keys).select("a", "b", F.round("score", 9).alias("score"))
 
 
-@query()
-def q_entity_groups(spark, d):
-    """The group of every listing by the order-exact greedy clustering."""
-    return resolve.group_listings(table(spark, d, "listing"))
-
-
 CAND_SQL = f"""WITH q AS (SELECT DISTINCT {S.normalize_title('clean_title')} AS key, year FROM listing WHERE {S.normalize_title('clean_title')} <> ''),
 c AS (SELECT id, release_year, unnest([{S.normalize_title('title')}, {S.normalize_title("coalesce(original_title, '')")}]) AS key FROM title_dim),
 p AS ({S.dice_pairs('SELECT DISTINCT key FROM q', "SELECT DISTINCT key FROM c WHERE key <> ''", 0.62)}),
@@ -287,7 +293,7 @@ TRUST_SQL = """WITH r AS (SELECT l.*, coalesce(v.trust_rank, 1073741824) AS t FR
 
 
 @query(TRUST_SQL + """ SELECT distributor_code,
-  arg_min(poster_url, (t, venue_ord, listing_ord, listing_id)) FILTER (WHERE poster_url <> '') AS poster_url,
+  arg_min(poster_url, (venue_ord, listing_ord, listing_id)) FILTER (WHERE poster_url <> '') AS poster_url,
   arg_min(runtime_minutes, (t, venue_ord, listing_ord, listing_id)) FILTER (WHERE runtime_minutes > 0) AS runtime_minutes,
   arg_min(synopsis, (venue_ord, listing_ord, listing_id)) FILTER (WHERE synopsis <> '') AS synopsis,
   coalesce(bool_or(origin_country IN ('RS', 'SRB', 'SR')), false) AS domestic, count(DISTINCT cinema_id) AS cinemas FROM r GROUP BY 1""")
@@ -296,21 +302,13 @@ def q_trust_coalesce(spark, d):
     return merge.merge_records(table(spark, d, "listing"), "distributor_code", table(spark, d, "dim_venue")).select("distributor_code", "poster_url", "runtime_minutes", "synopsis", "domestic", "cinemas")
 
 
-@query()
-def q_merged_records(spark, d):
-    """All picked values of each film, the display title and the original title among them."""
-    return merge.merge_records(table(spark, d, "listing"), "distributor_code", table(spark, d, "dim_venue")).withColumns({"genres": F.array_join("genres", "|"), "aliases": F.array_join("aliases", "|")})
-
-
 @query("""WITH g AS (SELECT distributor_code, venue_ord, listing_ord, listing_id, unnest(genres) AS g, generate_subscripts(genres, 1) AS i FROM listing WHERE distributor_code IS NOT NULL),
 f AS (SELECT distributor_code, g, min((venue_ord, listing_ord, listing_id, i)) AS o FROM g WHERE g IS NOT NULL GROUP BY 1, 2)
 SELECT distributor_code, string_agg(g, '|' ORDER BY o) AS genres FROM f GROUP BY 1""")
 def q_genre_union(spark, d):
     """Genres of each film in the order in which they first appear."""
     rows = table(spark, d, "listing").where("distributor_code is not null")
-    one = rows.groupBy("distributor_code").agg(F.array_sort(F.collect_list(F.struct("venue_ord", "listing_ord", "listing_id", "genres"))).alias("x"))
-    flat = F.array_distinct(F.filter(F.flatten(F.filter(F.transform("x", lambda e: e["genres"]), lambda g: g.isNotNull())), lambda g: g.isNotNull()))
-    return one.select("distributor_code", F.array_join(flat, "|").alias("genres")).where("genres <> ''")
+    return merge.ordered_union(rows, "distributor_code", "genres", ["venue_ord", "listing_ord", "listing_id"]).select("distributor_code", F.array_join("genres", "|").alias("genres"))
 
 
 @query("""WITH x AS (SELECT s.showtime_id, s.audio, l.origin_country, l.distributor_code FROM showtime s JOIN listing l USING (listing_id) WHERE l.distributor_code IS NOT NULL)

@@ -18,6 +18,8 @@ from marquee.streaming import refresh
 
 __all__ = ["QUERIES", "SQL"]
 TODAY = "2026-06-01"
+#: Origins of venues, a fixed dimension; beyond this the list must become a join.
+MAX_ORIGINS = 10_000
 _array = lambda xs: "[" + ", ".join(S.lit(x) for x in xs) + "]"
 
 
@@ -85,7 +87,9 @@ def q_safe_url(spark, d):
 @query(r"""SELECT showtime_id, CASE WHEN regexp_matches(booking_url, '^https?://[a-z0-9-]+\.example(/|$)') THEN booking_url END AS url FROM showtime""")
 def q_origin_allowlist(spark, d):
     """Booking links on the origins of the venues; anything else is dropped."""
-    origins = [r[0] for r in table(spark, d, "dim_venue").select(F.regexp_extract("url", r"^(https?://[^/]+)", 1)).distinct().limit(1000).collect()]
+    origins = [r[0] for r in table(spark, d, "dim_venue").select(F.regexp_extract("url", r"^(https?://[^/]+)", 1)).distinct().limit(MAX_ORIGINS + 1).collect()]
+    if len(origins) > MAX_ORIGINS:
+        raise ValueError(f"more than {MAX_ORIGINS} origins of venues")
     allowed = tuple(sorted({o.replace("http://", "https://") for o in origins} | {o.replace("https://", "http://") for o in origins}))
     return table(spark, d, "showtime").select("showtime_id", links.on_origin("https://programme.example/", allowed)("booking_url").alias("url"))
 
@@ -117,7 +121,7 @@ def q_plural_state(spark, d):
     return c.select("city_id", "n", label.alias("label"), links.query_string(F.col("city_id"), "numutuda", F.col("dubbed"), F.lit(False)).alias("state"))
 
 
-@query("SELECT id, to_base64(unhex(sha256(title))) AS hash, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM title_dim")
+@query(f"SELECT id, to_base64(unhex(sha256(title))) AS hash, replace(replace(replace(replace(replace({S.serbian_latin('title')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM title_dim")
 def q_hash_escape(spark, d):
     return table(spark, d, "title_dim").select("id", links.content_hash(F.col("title")).alias("hash"), links.escape_html(F.col("title")).alias("html"))
 
@@ -231,11 +235,11 @@ PAGE_BYTES = 1 << 20
 
 def programme_pages(s, most: int = PAGE_BYTES):
     """(url, body): pages of a venue, film and day, in parts of about `most` bytes; texts are escaped."""
-    perf = F.concat(F.lit('<a class="perf" href="/show/'), F.col("showtime_id").cast("string"), F.lit('" data-format="'), links.escape_html(F.coalesce("format", F.lit(""))), F.lit('">'), links.escape_html(F.col("time")), F.lit("</a>"))
+    perf = F.concat(F.lit('<a class="perf" href="/show/'), F.col("showtime_id").cast("string"), F.lit('" data-format="'), links.escape_markup(F.coalesce("format", F.lit(""))), F.lit('">'), links.escape_markup(F.col("time")), F.lit("</a>"))
     keys = ["cinema_id", "listing_id", "clean_title", "date"]
     so_far = F.sum(F.octet_length("perf")).over(W.partitionBy(*keys).orderBy("showtime_id").rowsBetween(W.unboundedPreceding, 0))
     parts = s.select(*keys, "showtime_id", perf.alias("perf")).withColumn("part", F.floor(so_far / most))
-    body = F.concat(F.lit('<div class="movie-item"><h3><span>Film</span>'), links.escape_html(F.col("clean_title")), F.lit('</h3><div class="day-wrapper" data-date="'), links.escape_html(F.col("date")), F.lit('">'), F.array_join("perfs", ""), F.lit("</div></div>"))
+    body = F.concat(F.lit('<div class="movie-item"><h3><span>Film</span>'), links.escape_markup(F.col("clean_title")), F.lit('</h3><div class="day-wrapper" data-date="'), links.escape_markup(F.col("date")), F.lit('">'), F.array_join("perfs", ""), F.lit("</div></div>"))
     return parts.groupBy(*keys, "part").agg(F.collect_list("perf").alias("perfs")).select(F.col("cinema_id").alias("url"), body.alias("body"))
 
 
