@@ -8,29 +8,30 @@ from pyspark.sql import functions as F
 from marquee.operators import instants, shred
 from marquee.session import spread, table
 
-#: Nodes that exist in the schema of the two record types even if a table shows none of them.
-DAY_NODES = [("$.sessions", "list", True, 1), ("$.sessions[].id", "scalar", False, 2), ("$.sessions[].technologies", "list", True, 2), ("$.sessions[].technologies[]", "list", True, 3), ("$.sessions[].technologies[][]", "scalar", False, 4)]
-DETAIL_NODES = [("$.release_dates", "list", True, 1), ("$.release_dates[].iso_3166_1", "scalar", False, 2), ("$.release_dates[].release_dates", "list", True, 2), ("$.release_dates[].release_dates[].certification", "scalar", False, 3), ("$.videos", "list", True, 1), ("$.videos[].key", "scalar", False, 2)]
+#: What the lists of the two record types are deep, also where all records of a table have fewer.
+DAY_LEVELS = {"sessions": 1, "sessions.technologies": 2}
+DETAIL_LEVELS = {"release_dates": 1, "release_dates.release_dates": 1, "videos": 1}
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """landing_id, child, ord1, ord2, ord3, leaf of every non-null innermost child."""
-    days = shred.flatten(spread(table(spark, sf_dir, "api_session_day").select("landing_id", "body")), "landing_id", "body", ["$.sessions", "$.sessions.[].technologies.[]"], DAY_NODES)
-    details = shred.flatten(spread(table(spark, sf_dir, "details_response").select("landing_id", "body")), "landing_id", "body", ["$.release_dates.[].release_dates", "$.videos"], DETAIL_NODES, inherit=True)
+    bodies = lambda name: spread(table(spark, sf_dir, name).select("landing_id", "body"))
+    days = shred.flatten(bodies("api_session_day"), "landing_id", "body", ["sessions", "sessions.technologies.[]"], DAY_LEVELS)
+    details = shred.flatten(bodies("details_response"), "landing_id", "body", ["release_dates.release_dates", "videos"], DETAIL_LEVELS, inherit=True)
     at = lambda i: F.coalesce(F.get("own", F.lit(i)), F.lit(0))
     kind = F.col("element")
     a = days.select(
         F.col("record").alias("landing_id"),
-        F.when(kind == "$.sessions", "session").otherwise("technology").alias("child"),
+        F.when(kind == "sessions", "session").otherwise("technology").alias("child"),
         at(0).alias("ord1"), at(1).alias("ord2"), at(2).alias("ord3"),
-        F.when(kind == "$.sessions", F.col("columns")["id"]).otherwise(F.col("scalar")).alias("leaf"),
+        F.when(kind == "sessions", F.col("columns")["id"]).otherwise(F.col("scalar")).alias("leaf"),
     )
-    country = F.coalesce(F.col("columns")["$.release_dates/iso_3166_1"], F.lit(""))
+    country = F.coalesce(F.col("columns")["release_dates/iso_3166_1"], F.lit(""))
     b = details.select(
         F.col("record").alias("landing_id"),
-        F.when(kind == "$.videos", "video").otherwise("release_date").alias("child"),
+        F.when(kind == "videos", "video").otherwise("release_date").alias("child"),
         at(0).alias("ord1"), at(1).alias("ord2"), at(2).alias("ord3"),
-        F.when(kind == "$.videos", F.col("columns")["key"]).otherwise(F.concat(country, F.lit(":"), F.coalesce(F.col("columns")["certification"], F.lit("")))).alias("leaf"),
+        F.when(kind == "videos", F.col("columns")["key"]).otherwise(F.concat(country, F.lit(":"), F.coalesce(F.col("columns")["certification"], F.lit("")))).alias("leaf"),
     )
     return a.unionByName(b).where("landing_id is not null and leaf is not null")
 

@@ -52,13 +52,13 @@ WANT = {(0, "release_date", 0, 0, 0, "RS:12"), (0, "release_date", 0, 1, 0, "RS:
 
 def details(spark, bodies):
     df = spark.createDataFrame(list(enumerate(bodies)), "landing_id bigint, body string")
-    out = shred.flatten(df, "landing_id", "body", ["$.release_dates.[].release_dates", "$.videos"], general.DETAIL_NODES, inherit=True)
+    out = shred.flatten(df, "landing_id", "body", ["release_dates.release_dates", "videos"], general.DETAIL_LEVELS, inherit=True)
     at = lambda r, i: r["own"][i] if i < len(r["own"]) else 0
     found = set()
     for r in out.collect():
-        leaf = r["columns"].get("key") if r["element"] == "$.videos" else f"{r['columns'].get('$.release_dates/iso_3166_1', '')}:{r['columns'].get('certification', '')}"
+        leaf = r["columns"].get("key") if r["element"] == "videos" else f"{r['columns'].get('release_dates/iso_3166_1', '')}:{r['columns'].get('certification', '')}"
         if leaf is not None:
-            found.add((r["record"], "video" if r["element"] == "$.videos" else "release_date", at(r, 0), at(r, 1), at(r, 2), leaf))
+            found.add((r["record"], "video" if r["element"] == "videos" else "release_date", at(r, 0), at(r, 1), at(r, 2), leaf))
     return found
 
 
@@ -80,28 +80,81 @@ def test_broken_null_and_empty(spark):
 def test_repeated_rows_and_clashing_columns(spark):
     body = json.dumps(BODIES[0])
     df = spark.createDataFrame([(7, body, "x", "y")] * 2, "landing_id bigint, body string, record string, element string")
-    n = shred.flatten(df, "landing_id", "body", ["$.videos"], general.DETAIL_NODES).count()
+    n = shred.flatten(df, "landing_id", "body", ["videos"], general.DETAIL_LEVELS).count()
     assert n == 2 * 2
 
 
+def tables_of(spark, *docs):
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs, 1)], "k bigint, body string")
+    plan = shred.plan_of(df, "body")
+    return plan, {n: [r.asDict() for r in t.collect()] for n, t in shred.relations(df, "k", "body").items()}
+
+
 def test_graph_inlines_singletons_and_links_parents(spark):
-    doc = {"id": 5, "owner": {"name": "A", "city": {"zip": "1"}}, "parts": [{"no": 1, "size": {"w": 2}, "tags": ["x", "y"]}, {"no": 2, "tags": []}]}
-    df = spark.createDataFrame([(1, json.dumps(doc))], "k bigint, body string")
-    tables = shred.plan_tables([tuple(r) for r in shred.schema_graph(df, "body").collect()])
-    assert tables["$"].columns == ("id", "owner.city.zip", "owner.name")
-    assert tables["$.parts"].parent == "$" and set(tables["$.parts"].columns) == {"no", "size.w"}
-    assert tables["$.parts.[].tags"].parent == "$.parts"
-    rows = shred.shred(df, "k", "body", tables).collect()
-    tags = sorted((r["own"], r["parent"], r["scalar"]) for r in rows if r["element"] == "$.parts.[].tags")
-    assert tags == [([0, 0], [0], "x"), ([0, 1], [0], "y")]
-    parts = {tuple(r["own"]): r["columns"] for r in rows if r["element"] == "$.parts"}
-    assert parts[(0,)]["size.w"] == "2" and parts[(1,)]["no"] == "2"
-
-
-def test_recursive_elements_end(spark):
-    doc = {"name": "a"}
-    for _ in range(60):
-        doc = {"name": "n", "child": doc}
-    df = spark.createDataFrame([(1, json.dumps(doc))], "k bigint, body string")
-    assert shred.schema_graph(df, "body").count() < 100
+    doc = {"id": 5, "owner": {"name": "A", "city": {"zip": "1"}}, "parts": [{"no": 1, "size": {"w": 2.5}, "tags": ["x", "y"]}, {"no": 2, "tags": []}]}
+    plan, t = tables_of(spark, doc)
+    assert plan.tables["$"].columns == {"id": "bigint", "owner.city.zip": "string", "owner.name": "string"}
+    assert plan.tables["parts"].parents == {"$"} and plan.tables["parts"].columns == {"no": "bigint", "size.w": "double"}
+    assert plan.tables["parts.tags"].parents == {"parts"} and plan.tables["parts.tags"].scalar == "string"
+    assert [(r["_key"], r["_parent_key"], r["_own"], r["_value"]) for r in t["parts.tags"]] == [("/parts/0/tags/0", "/parts/0", [0, 0], "x"), ("/parts/0/tags/1", "/parts/0", [0, 1], "y")]
+    assert [(r["_key"], r["no"], r["size.w"]) for r in t["parts"]] == [("/parts/0", 1, 2.5), ("/parts/1", 2, None)]
+
+
+def test_every_child_has_its_parent(spark, small):
+    """Foreign keys of all tables of both record types lead to a row of the parent's table."""
+    for name in ("api_session_day", "details_response"):
+        tables = shred.relations(spark.read.parquet(f"{small}/{name}.parquet"), "landing_id", "body")
+        keys = {n: {(r["_record"], r["_key"]) for r in t.select("_record", "_key").collect()} for n, t in tables.items()}
+        assert len(tables) > 2
+        for t in tables.values():
+            assert all(r["_parent"] is None or (r["_record"], r["_parent_key"]) in keys[r["_parent"]] for r in t.select("_record", "_parent", "_parent_key").collect())
+
+
+def test_nothing_is_lost(spark):
+    """Keys with dots, keys named like wrappers, objects and scalars in one place, empty keys."""
+    plan, t = tables_of(spark, {"o": {"value": {"k": 1}}, "a.b": 5, "c": {"addr": {"c": 1}}, "": "e", "m": 7}, {"m": {"n": 8}, "data": "d"})
+    one, two = sorted(t["$"], key=lambda r: r["_record"])
+    assert (one["o.value.k"], one['"a.b"'], one["c.addr.c"], one['""'], one["m.$"], one["m.n"]) == (1, 5, 1, "e", 7, None)
+    assert (two["m.n"], two["data"]) == (8, "d")
+
+
+def test_shared_elements_have_one_table(spark):
+    plan, t = tables_of(spark, {"b": {"addr": {"street": "s", "no": 1}}, "c": {"addr": {"street": "t", "no": 2}}, "d": 1})
+    assert plan.tables["addr"].why == "shared"
+    assert sorted((r["_parent"], r["_parent_key"], r["_key"], r["street"], r["no"]) for r in t["addr"]) == [("$", "", "/b/addr", "s", 1), ("$", "", "/c/addr", "t", 2)]
+
+
+def test_recursive_elements_have_one_table(spark):
+    tree = {"name": "r", "node": {"name": "a", "kids": [{"name": "b", "kids": [{"name": "c", "kids": []}]}, {"name": "d", "kids": None}]}}
+    plan, t = tables_of(spark, tree)
+    table = next(n for n, e in plan.tables.items() if e.why == "recursive")
+    assert sorted(r["name"] for r in t[table]) == ["b", "c", "d"] or sorted(r["name"] for r in t[table]) == ["a", "b", "c", "d"]
+    assert len(plan.tables) <= 3
+    assert {r["name"]: r["_parent_key"] for r in t[table]}["c"] == next(r["_key"] for r in t[table] if r["name"] == "b")
+
+
+def test_deep_recursion_keeps_every_level(spark):
+    doc = {"name": "a", "child": None}
+    for i in range(200):
+        doc = {"name": f"n{i}", "child": doc}
+    plan, t = tables_of(spark, doc)
+    assert sorted(r["name"] for rows in t.values() for r in rows if r.get("name")) == sorted(["a", *(f"n{i}" for i in range(200))])
+    assert len(plan.tables) <= 2
+
+
+def test_many_encodings_are_opened(spark):
+    body = json.dumps({"videos": {"results": [{"key": "a"}]}})
+    for _ in range(12):
+        body = json.dumps(body)
+        if len(body) > 100_000:
+            break
+    assert details(spark, [body]) == {(0, "video", 0, 0, 0, "a")}
+    df = spark.createDataFrame([(1, "{}")], "k bigint, body string")
     assert shred.schema_graph(df.withColumn("body", F.lit(None).cast("string")), "body").count() == 0
+
+
+def test_objects_around_records_and_lists(spark):
+    """Wrappers follow from the structure, whatever their names."""
+    plain = {"date": "d", "items": [{"id": 1, "x": "a"}, {"id": 2, "x": "b"}]}
+    _, t = tables_of(spark, plain, {"envelope": plain}, [plain, plain], {"date": "d", "items": {"inside": plain["items"]}}, {"date": "d", "items": plain["items"][0]})
+    assert sorted((r["_record"], r["id"], r["_own"][0]) for r in t["items"]) == [(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 2, 1), (3, 1, 0), (3, 1, 0), (3, 2, 1), (3, 2, 1), (4, 1, 0), (4, 2, 1), (5, 1, 0)]
