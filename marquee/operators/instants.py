@@ -1,13 +1,14 @@
 """Timestamps written in many formats, precisions and zones, as one instant (microseconds since 1970, UTC).
 
 Parsing: `read_date`, `read_time` and `read_stamp` turn a text into parts, once per distinct text and worker.
-Zones: `estimate_zones` finds, for each source, the offset history (a zone of the tz database) under which the
-source's local times violate its ingestion times least; a source without enough evidence keeps the default.
+Zones: `estimate_zones` finds, for each source, the offset history (a zone of the tz database) that its records
+violate least: local days against ingestion times, and offsets printed with the stamps. All fixed offsets are tried
+first, then the zones near the best of them; a source without clear evidence keeps the default.
 Conversion: `to_instants` is vectorised; a wall time that occurs twice is the first, a skipped one moves on by
 the gap.
 
-Null, empty or unreadable texts and dates or times that do not exist give null, never an error; very long
-texts are unreadable beyond 80 characters after white space is squeezed; repeated rows come out as often as
+Null, empty or unreadable texts and dates or times that do not exist give null, never an error; texts
+longer than every format denote nothing; repeated rows come out as often as
 they came in; columns other than those named are not touched.
 """
 
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 import bisect
 import datetime as dt
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from zoneinfo import ZoneInfo
+from zoneinfo import ZoneInfo, available_timezones
 
 import numpy as np
 import pandas as pd
@@ -28,10 +30,12 @@ from pyspark.sql import functions as F
 from marquee.session import as_micros
 
 HOME = "Europe/Belgrade"
-#: Offset histories a source may follow.
+#: Zones that name an offset history where several zones share it; all others of the database are tried too.
 CANDIDATES = (HOME, "UTC", "Europe/London", "Europe/Athens", "Europe/Istanbul", "America/New_York", "Asia/Tokyo")
 DAY = 86_400
 US = 1_000_000
+#: No format is as long as this after white space is squeezed, so longer texts denote nothing.
+LONGEST = 400
 EPOCH = dt.date(1970, 1, 1)
 YEARS = (1990, 2090)
 
@@ -152,7 +156,7 @@ D_DAY, D_INSTANT, D_MONTHDAY, D_AFTER, D_WEEKDAY = range(5)
 def read_date(text: str) -> tuple[int, int] | None:
     """(kind, value) of a date: D_DAY day number, D_INSTANT UTC seconds, D_MONTHDAY month*100+day, D_AFTER days, D_WEEKDAY index."""
     t = fold(text)
-    if not t or len(t) > 80:
+    if not t or len(t) > LONGEST:
         return None
     if m := re.fullmatch(r"(\d{4})\s*([-./])\s*(\d{1,2})\s*\2\s*(\d{1,2})\.?(?:[t ]\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,]\d+)?)?\s*(\S+)?)?", t):
         day = day_number(int(m[1]), int(m[3]), int(m[4]))
@@ -223,7 +227,7 @@ def clock(h: str, m: str | None, s: str | None = None, half: str | None = None,
 def read_time(text: str) -> tuple[int, int | None, str | None] | None:
     """(microseconds after midnight, fixed offset in seconds or None, zone name or None) of a time of day."""
     t = squeeze(text)
-    if not t or len(t) > 80:
+    if not t or len(t) > LONGEST:
         return None
     zone, offset = None, None
     if m := re.search(r"\s*[\[(]?([A-Z][A-Za-z]+/[A-Za-z_/]+)[\])]?$", t):
@@ -272,7 +276,7 @@ def epoch(text: str, fraction: str = "") -> int | None:
 def read_stamp(text: str) -> tuple[int, int, str | None] | None:
     """(S_INSTANT, UTC microseconds, None) or (S_WALL, wall microseconds, zone named in the text or None)."""
     t = squeeze(text)
-    if not t or len(t) > 80:
+    if not t or len(t) > LONGEST:
         return None
     if m := re.fullmatch(r"(\d{10}|\d{13}|\d{16}|\d{19})(?:\.(\d+))?", t):
         us = epoch(m[1], m[2] or "")
@@ -421,22 +425,85 @@ def to_instants(df: DataFrame, src: str) -> DataFrame:
 # ---- zones of sources -----------------------------------------------------------------------------------------------
 
 
-def estimate_zones(df: DataFrame, source: str, wall_day: Column, ingested: Column, horizon: int = 7, default: str = HOME, candidates: tuple[str, ...] = CANDIDATES, margin: float = 0.02, least: int = 50) -> DataFrame:
-    """(source, zone) of the sources whose local days fit another offset history than `default` better.
+STEP = 900  # seconds; offsets are whole quarters of an hour
+FAR = 14 * 3600
 
-    A record announces a start 0 to `horizon` local days after its ingestion. Under a wrong offset history the
-    local day of ingestion is off around midnight, which puts some starts before it or beyond the horizon. The
-    candidate with the fewest such violations wins, if it has at least `margin` of the rows (and `least` rows)
-    fewer than the default; ties go to the default, then to the earlier candidate. One pass, counts combined
-    before the shuffle, one row per source.
+
+def day_evidence(df: DataFrame, source: str, wall_day: Column, ingested_s: Column, horizon: int) -> DataFrame:
+    """(source, kind, t, a, n): how many records of a source could violate an offset, by quarter hours, and (kind `all`) how many there are.
+
+    A record announces a start 0 to `horizon` local days after its ingestion, so under an offset of `a` seconds or more
+    its day is over before the ingestion, and under one of less than `a` - (horizon + 1) days it is beyond the horizon.
+    Most records violate no offset at all; they are counted only. Counts are combined before the shuffle.
+    """
+    ends = (F.datediff(wall_day, F.lit(EPOCH)).cast("bigint") + 1) * DAY - ingested_s
+    x = df.select(F.col(source).alias("source"), F.floor(ingested_s / STEP).alias("t"), F.floor(ends / STEP).alias("a")).where("source is not null and t is not null and a is not null")
+    near = F.col("a").between(-FAR // STEP, FAR // STEP) | (F.col("a") - (horizon + 1) * DAY // STEP).between(-FAR // STEP, FAR // STEP)
+    # days outside of what any offset allows say nothing about offsets
+    kept = x.where(F.col("a").between(-FAR // STEP, ((horizon + 1) * DAY + FAR) // STEP))
+    each = F.when(near, F.struct(F.lit("day").alias("kind"), "t", "a")).otherwise(F.struct(F.lit("all").alias("kind"), F.lit(0).cast("bigint").alias("t"), F.lit(0).cast("bigint").alias("a")))
+    return kept.select("source", each.alias("x")).groupBy("source", "x").agg(F.count("*").alias("n")).select("source", "x.*", "n")
+
+
+def offset_evidence(df: DataFrame, source: str, instant_s: Column, offset_s: Column) -> DataFrame:
+    """(source, kind, t, a, n): offsets printed with stamps, by hour of the instant; an offset history that says otherwise is violated."""
+    x = df.select(F.col(source).alias("source"), F.lit("offset").alias("kind"), (F.floor(instant_s / 3600) * (3600 // STEP)).alias("t"), offset_s.cast("bigint").alias("a")).where("source is not null and t is not null and a is not null")
+    return x.groupBy("source", "kind", "t", "a").agg(F.count("*").alias("n"))
+
+
+def violations(kind: np.ndarray, t: np.ndarray, a: np.ndarray, n: np.ndarray, offsets: np.ndarray, horizon: int) -> int:
+    """Records that contradict the offsets (seconds, one for each entry)."""
+    day = kind == "day"
+    late = offsets >= (a + 1) * STEP
+    early = offsets < a * STEP - (horizon + 1) * DAY
+    return int(n[(day & (late | early)) | ((kind == "offset") & (offsets != a))].sum())
+
+
+@lru_cache(maxsize=1)
+def all_zones() -> tuple[str, ...]:
+    """The zones of the database, well-known ones first."""
+    return (*CANDIDATES, *sorted(z for z in available_timezones() if "/" in z and not z.startswith(("Etc/", "SystemV/", "posix/", "right/")) and z not in CANDIDATES))
+
+
+def best_zone(evidence: pd.DataFrame, horizon: int = 7, default: str = HOME, margin: float = 0.02) -> str | None:
+    """The zone whose offset history the evidence of one source violates least, None for the default.
+
+    First all fixed offsets of whole quarter hours are tried; only if one of them does clearly better than the default
+    are the zones that have an offset within an hour of it tried with their whole histories. Clearly better: by at
+    least `margin` of all records, and by more than three standard deviations of what chance could do.
+    """
+    kind, t, a, n = (evidence[c].to_numpy() for c in ("kind", "t", "a", "n"))
+    total, at = int(n.sum()), t * STEP
+    home = violations(kind, t, a, n, utc_to_wall(at, default) - at, horizon)
+    clearly = lambda v: home - v >= margin * total and home - v > 3 * math.sqrt(home + v + 1)
+    fixed = {o: violations(kind, t, a, n, np.full(len(t), o), horizon) for o in range(-12 * 3600, FAR + 1, STEP)}
+    least = min(fixed.values())
+    # a history with two offsets may do better than either, but then either does better than the default's
+    if not clearly(least):
+        return None
+    near = [o for o, v in fixed.items() if clearly(v)]
+    middle = np.array([int(np.median(at[kind != "all"]))])
+    best = (home, default)
+    for z in all_zones():
+        o = int((utc_to_wall(middle, z) - middle)[0])
+        if z != default and min(near) - 3600 <= o <= max(near) + 3600:
+            v = violations(kind, t, a, n, utc_to_wall(at, z) - at, horizon)
+            if v < best[0]:
+                best = (v, z)
+    return best[1] if best[1] != default and clearly(best[0]) else None
+
+
+def estimate_zones(evidence: DataFrame, horizon: int = 7, default: str = HOME, margin: float = 0.02) -> DataFrame:
+    """(source, zone) of the sources whose evidence (of `day_evidence` and `offset_evidence`) fits another offset history than `default` better.
+
+    The evidence of a source is counts by quarter hours of the calendar, so a source of any number of records fits a task.
     """
-    counts = [F.count_if(~(F.datediff(wall_day, F.to_date(F.from_utc_timestamp(ingested, z))).between(0, horizon))).alias(f"v{i}") for i, z in enumerate(candidates)]
-    agg = df.where(wall_day.isNotNull() & ingested.isNotNull()).groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"), *counts)
-    home = candidates.index(default)
-    best = F.array_min(F.array(*[F.struct(F.col(f"v{i}").alias("v"), F.lit(i != home).alias("other"), F.lit(i).alias("i")) for i in range(len(candidates))]))
-    zone = F.element_at(F.array(*[F.lit(z) for z in candidates]), F.col("best.i") + 1)
-    enough = (F.col(f"v{home}") - F.col("best.v") >= F.greatest(F.col("n") * margin, F.lit(least)))
-    return agg.withColumn("best", best).where(F.col("best.other") & enough).select("source", zone.alias("zone"))
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        z = best_zone(b, horizon, default, margin)
+        return pd.DataFrame({"source": b["source"].iloc[:1], "zone": [z]} if z else {"source": [], "zone": []}).astype(str)
+
+    return evidence.groupBy("source").applyInPandas(run, "source string, zone string")
 
 
 def with_zone(df: DataFrame, source: str, zones: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -455,14 +522,17 @@ def wrong_or_changing(day: Column) -> Column:
 
 
 def found(showtime: DataFrame, api_session: DataFrame) -> DataFrame:
-    """src, row_id, instant_us of starts not in plain form or on a day of clock change; see TESTDATA.md, p2_found."""
+    """src, row_id, instant_us of starts not in plain form or on a day of clock change; see TESTDATA.md, p2_found.
+
+    The zone of a showtime's source is estimated from the days it announces and the times of its fetches; that of an
+    api_session's source from the offsets its stamps print and from the days it announces, as far as it landed in time.
+    """
     plain = F.col("date").rlike(r"^\d{4}-\d\d-\d\d\z") & F.col("time").rlike(r"^\d\d:\d\d\z")
-    fetched = F.timestamp_micros(as_micros(showtime, "fetched_at"))
+    fetched_us = as_micros(showtime, "fetched_at")
     plain_day = F.when(plain, F.try_to_date(F.col("date"), "yyyy-MM-dd"))
-    utc = fetched if showtime.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC" else F.to_utc_timestamp(fetched, F.current_timezone())
-    zones = estimate_zones(showtime, "cinema_id", plain_day, utc)
+    zones = estimate_zones(day_evidence(showtime, "cinema_id", plain_day, F.floor(fetched_us / US), 7))
     shown = showtime.where(F.col("date").isNotNull() & F.col("time").isNotNull() & (~plain | wrong_or_changing(F.col("date"))))
-    shown = with_zone(shown.select(F.col("showtime_id").cast("bigint").alias("row_id"), "cinema_id", "date", "time", as_micros(showtime, "fetched_at").alias("fetched_us")), "cinema_id", zones)
+    shown = with_zone(shown.select(F.col("showtime_id").cast("bigint").alias("row_id"), "cinema_id", "date", "time", fetched_us.alias("fetched_us")), "cinema_id", zones)
     a = to_instants(shown.select("row_id", "date", "time", "fetched_us", "zone"), "showtime")
 
     t = F.col("showtime")
@@ -471,5 +541,10 @@ def found(showtime: DataFrame, api_session: DataFrame) -> DataFrame:
     at_utc = at if showtime.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC" else F.to_utc_timestamp(at, F.current_timezone())
     home = F.date_format(F.from_utc_timestamp(at_utc, HOME), "yyyy-MM-dd'T'HH:mm:ss")
     usual = F.coalesce(home == F.substring(t, 1, 19), F.lit(False)) & ~wrong_or_changing(F.substring(t, 1, 10))
-    told = api_session.where(t.isNotNull() & ~usual).select(F.col("landing_id").cast("bigint").alias("row_id"), t.alias("stamp"), F.lit(None).cast("string").alias("zone"))
-    return a.unionByName(to_instants(told, "api_session"))
+    printed = F.when(shape, F.substring(t, 21, 2).cast("int") * 3600 + F.substring(t, 24, 2).cast("int") * 60)
+    offsets = offset_evidence(api_session, "cinema_id", F.unix_seconds(at), printed)
+    wall_day = F.when(t.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d)?\z"), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
+    days = day_evidence(api_session, "cinema_id", wall_day, F.floor(as_micros(api_session, "landed_at") / US), 7)
+    zones = estimate_zones(offsets.unionByName(days))
+    told = with_zone(api_session.where(t.isNotNull() & ~usual).select(F.col("landing_id").cast("bigint").alias("row_id"), "cinema_id", t.alias("stamp")), "cinema_id", zones)
+    return a.unionByName(to_instants(told.select("row_id", "stamp", "zone"), "api_session"))

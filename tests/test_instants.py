@@ -1,5 +1,7 @@
 import datetime as dt
 
+import numpy as np
+
 import pytest
 
 from marquee.operators import instants as I
@@ -103,11 +105,30 @@ def test_zones_are_estimated_from_ingestion(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "s string, day date, f timestamp")
-    assert [tuple(r) for r in I.estimate_zones(df, "s", F.col("day"), F.col("f")).collect()] == [("b", "Asia/Tokyo")]
-    held = I.with_zone(df, "s", I.estimate_zones(df, "s", F.col("day"), F.col("f")))
+    zones = I.estimate_zones(I.day_evidence(df, "s", F.col("day"), F.unix_seconds("f"), 7))
+    assert [tuple(r) for r in zones.collect()] == [("b", "Asia/Tokyo")]
+    held = I.with_zone(df, "s", zones)
     assert {(r["s"], r["zone"]) for r in held.select("s", "zone").distinct().collect()} == {("a", None), ("b", "Asia/Tokyo"), ("few", None)}
 
 
+def test_zones_are_estimated_from_printed_offsets(spark):
+    """Two offsets over a year tell a history with summer time from a fixed one; zones of any name are candidates."""
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for source, zone in (("home", "Europe/Belgrade"), ("ny", "America/New_York"), ("cairo", "Africa/Lagos"), ("few", "Asia/Tokyo")):
+        for i in range(3 if source == "few" else 365):
+            f = dt.datetime(2025, 6, 1, tzinfo=UTC) + dt.timedelta(days=i, hours=3)
+            rows.append((source, int(f.timestamp()), int(f.astimezone(ZoneInfo(zone)).utcoffset().total_seconds())))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "s string, at bigint, o int")
+    found = {r["source"]: r["zone"] for r in I.estimate_zones(I.offset_evidence(df, "s", F.col("at"), F.col("o"))).collect()}
+    assert set(found) == {"ny", "cairo"} and found["ny"] == "America/New_York"
+    at = np.array([1_750_000_000, 1_765_000_000])
+    assert (I.utc_to_wall(at, found["cairo"]) - at == 3600).all()
+
+
 def test_session_zone_does_not_matter(spark, small):
     want = sorted(map(tuple, general.p2_found(spark, small).collect()))
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
