@@ -19,6 +19,7 @@ LABELS = {
     "GB": {"U": 0, "PG": 8, "12": 12, "12A": 12, "15": 15, "18": 18, "R18": 18},
     "US": {"G": 0, "PG": 8, "PG-13": 13, "R": 17, "NC-17": 17, "NR": -1},
 }
+#: Words of genres for children and for adults. Results depend on exactly these.
 KID_GENRES = ["animation", "family", "animirani", "animacija", "porodični", "porodicni", "dečji", "decji", "crtani"]
 ADULT_GENRES = ["horror", "horor", "thriller", "triler", "erotski"]
 KID_AGE = 12

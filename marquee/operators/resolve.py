@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.text import normalize_title
+from marquee.operators.contraction import contract
 from marquee.operators.similarity import similar_pairs
-from marquee.session import checkpointed, forget
+from marquee.session import checkpointed
 
 THRESHOLD = 0.82
 
@@ -22,21 +23,10 @@ def title_keys(listing: DataFrame, raw: str = "raw_title", clean: str = "clean_t
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root): the smallest vertex reachable from each vertex of `edges` (a, b). Label propagation with shortcuts."""
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("root")))
-    while True:
-        near = both.join(label.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        new = label.join(near, "v").select("v", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
-        # shortcut: the label of the label
-        jump = new.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        new = checkpointed(new.join(jump, "root", "left").select("v", F.least("root", F.coalesce("far", "root")).alias("root"), "moved"))
-        moved = not new.where("moved").isEmpty()
-        forget(label)
-        label = new.select("v", "root")
-        label._written_to = getattr(new, "_written_to", None)
-        if not moved:
-            return label
+    """(v, root) of every vertex of `edges` (a, b): root is the same within a component; loops keep a vertex without other edges."""
+    linked = contract(edges)
+    alone = edges.select(F.col("a").alias("v")).union(edges.select("b")).where("v is not null").distinct()
+    return checkpointed(alone.join(linked, "v", "left").select("v", F.coalesce("root", "v").alias("root")))
 
 
 def fold(rows: list[tuple[int, list[str], int | None]], similar: set[tuple[str, str]]) -> list[int]:

@@ -37,6 +37,8 @@ MAX_NODES = 100_000
 #: Share of common keys from which an object counts as built like another.
 ALIKE = 0.5
 TYPES = ("boolean", "bigint", "double", "string")
+#: How a string that may be encoded JSON begins.
+_OPENS = frozenset('{["') | frozenset(" \t\n\r\x0b\x0c\u00a0\ufeff\u3000") | {""}
 
 
 def decode(text: str | None):
@@ -68,7 +70,7 @@ def type_of(value) -> str:
 class Seen:
     """What was seen at a place: kinds, the places below by key, the place of list elements, the element it repeats."""
 
-    __slots__ = ("kinds", "kids", "item", "back", "path")
+    __slots__ = ("kinds", "kids", "item", "back", "path", "last")
 
     def __init__(self, path: tuple = ()) -> None:
         self.kinds: set[str] = set()
@@ -76,6 +78,7 @@ class Seen:
         self.item: Seen | None = None
         self.back: set[tuple] = set()
         self.path = path
+        self.last = next((s for s in reversed(path) if s != 0), None)
 
     def below(self, step) -> Seen:
         if step == 0:
@@ -88,10 +91,6 @@ class Seen:
         return kid
 
 
-def _last_key(path: tuple):
-    return next((s for s in reversed(path) if s != 0), None)
-
-
 def _alike(a, b) -> bool:
     return len(a & b) >= ALIKE * len(a | b) if a or b else False
 
@@ -104,20 +103,19 @@ def walk(value, root: Seen) -> None:
         value = opened(value)
         if isinstance(value, dict):
             keys = value.keys()
-            last = _last_key(at.path)
-            for place, theirs in above:
-                step = next((s for s in at.path[len(place.path) :] if s != 0), None)
-                if _alike(keys, theirs) and (step in keys or (last is not None and last == _last_key(place.path))):
+            for place, theirs, step in above:
+                if (step in keys or (at.last is not None and at.last == place.last)) and _alike(keys, theirs):
                     at.back.add(place.path)
                     at = place
                     break
-            else:
-                above = (*above, (at, keys))
             at.kinds.add("object")
             if len(value) == 1:
                 at.kinds.add("alone:" + next(iter(value)))
             for k, v in value.items():
-                stack.append((v, at.below(k), above))
+                if isinstance(v, (dict, list)) or (isinstance(v, str) and v[:1] in _OPENS):
+                    stack.append((v, at.below(k), (*above, (at, keys, k))))
+                elif v is not None:
+                    at.below(k).kinds.add(type_of(v))
         elif isinstance(value, list):
             at.kinds.add("list")
             for v in value:
@@ -165,6 +163,9 @@ class Place:
         self.wraps: set[str] = set()
         self.recursive = False
         self.table: str | None = None  # where it has a table of its own (of its innermost level)
+        self.column = ""  # the name of its column where it has none
+        self.known: frozenset[str] = frozenset()  # keys of its objects, where some of its kids are left out
+        self.steps: dict[str, str] = {}  # what a key adds to the key of a row
         self.name = ""
 
     def top(self) -> Place:
@@ -345,6 +346,7 @@ def _place_tables(root: Place) -> dict[str, Element]:
         at, table, prefix = todo.pop()
         for k, v in sorted(at.kids.items()):
             v = v.top()
+            at.steps[k] = f"/{quoted(k)}"
             if v.levels or v.recursive or id(v) in shared:
                 why = "recursive" if v.recursive else "shared" if id(v) in shared else "repeated"
                 names = [v.name + ".[]" * i for i in range(max(1, v.levels))]
@@ -362,8 +364,8 @@ def _place_tables(root: Place) -> dict[str, Element]:
                     todo.append((v, v.table, ""))
             else:
                 kinds = v.kinds & set(TYPES)
+                v.column = name = f"{prefix}{quoted(k)}" + (".$" if v.kids else "")
                 if kinds:
-                    name = f"{prefix}{quoted(k)}" + (".$" if v.kids else "")
                     tables[table].columns[name] = "double" if kinds == {"bigint", "double"} else next(iter(kinds)) if len(kinds) == 1 else "string"
                 todo.append((v, table, f"{prefix}{quoted(k)}."))
     return tables
@@ -398,7 +400,7 @@ def records(text: str | None, plan: Plan) -> list[dict]:
 def elements(value, at: Place) -> list:
     """The value at a repeated place as lists nested `levels` deep."""
     value = opened(value)
-    while isinstance(value, dict) and (inner := [k for k in at.wraps if k in value]) and len(inner) == 1 and not (set(value) - {inner[0]}) & set(at.kids):
+    while isinstance(value, dict) and (inner := [k for k in at.wraps if k in value]) and len(inner) == 1 and not (value.keys() - {inner[0]}) & (at.known or at.kids.keys()):
         value = opened(value[inner[0]])
 
     def nested(v, depth: int):
@@ -449,22 +451,22 @@ def rows_of(record: dict, plan: Plan, wanted: set[str] | None = None, inherit: b
         scalar = None
         below = []
         if isinstance(value, dict):
-            inline = [(at, value, "", "")]
+            inline = [(at, value, key)]
             while inline:
-                p, v, prefix, path = inline.pop()
-                for k, x in v.items():
-                    kid = p.kids.get(k)
-                    if kid is None or x is None:
+                p, v, path = inline.pop()
+                for k, kid in p.kids.items():
+                    x = v.get(k)
+                    if x is None:
                         continue
                     kid = kid.top()
                     if kid.table is not None:
-                        below.append((kid, x, f"{key}{path}/{quoted(k)}"))
+                        below.append((kid, x, path + p.steps[k]))
                         continue
                     x = opened(x)
                     if isinstance(x, dict):
-                        inline.append((kid, x, f"{prefix}{quoted(k)}.", f"{path}/{quoted(k)}"))
+                        inline.append((kid, x, path + p.steps[k]))
                     elif x is not None:
-                        columns[f"{prefix}{quoted(k)}" + (".$" if kid.kids else "")] = text_of(x)
+                        columns[kid.column] = text_of(x)
         elif not isinstance(value, list):
             scalar = text_of(value)
         if wanted is None or element in wanted:
@@ -491,9 +493,40 @@ def rows_of(record: dict, plan: Plan, wanted: set[str] | None = None, inherit: b
     return out
 
 
+def pruned(plan: Plan, wanted: set[str] | None, inherit: bool) -> Plan:
+    """The plan with only the elements that the wanted tables need."""
+    if wanted is None:
+        return plan
+    known: dict[int, bool] = {}
+
+    def wants(p: Place) -> bool:
+        p = p.top()
+        if id(p) not in known:
+            known[id(p)] = True  # an element that is below itself is kept if it is wanted at all
+            tables = {p.table[: len(p.table) - 3 * i] for i in range(max(1, p.levels))} if p.table else set()
+            known[id(p)] = bool(tables & wanted) | any([wants(v) for v in p.kids.values()])
+        return known[id(p)]
+
+    copies: dict[int, Place] = {}
+
+    def copy(p: Place, inline: bool) -> Place:
+        p = p.top()
+        if id(p) in copies:
+            return copies[id(p)]
+        c = copies[id(p)] = Place()
+        c.kinds, c.levels, c.wraps, c.recursive, c.table, c.column, c.steps, c.name = p.kinds, p.levels, p.wraps, p.recursive, p.table, p.column, p.steps, p.name
+        c.known = frozenset(p.kids)
+        here = inline if p.table is None else inherit or p.table in wanted
+        c.kids = {k: copy(v, here) for k, v in p.kids.items() if (here and v.top().table is None) or wants(v)}
+        return c
+
+    return Plan(copy(plan.root, False), plan.root_wraps, plan.tables)
+
+
 def shred(df: DataFrame, key: str, body: str, plan: Plan, wanted: list[str] | None = None, inherit: bool = False) -> DataFrame:
     """Rows of all tables (or of `wanted`) as ROWS."""
     only = set(wanted) if wanted is not None else None
+    plan = pruned(plan, only, inherit)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,27 +32,43 @@ def numbered(left: DataFrame, right: DataFrame | None) -> DataFrame:
 def similar_pairs(left: DataFrame, right: DataFrame | None = None, threshold: float = 0.82) -> DataFrame:
     """(a, b, score) of the pairs of keys with Dice >= threshold; without `right`, pairs a < b within `left`.
 
-    Two keys of n1 and n2 bigrams that reach the threshold share at least t(n1+n2)/2 of them, so they share one of
-    the rarest n1 - ceil(t n1 / (2-t)) + 1 bigrams of either (with one global order of bigrams). Where they first
-    meet, what is left of either bounds what they can share. Keys equal without spaces are joined on that. No pair
-    is lost, every candidate is verified with the exact value.
+    A key of n bigrams shares at least o = ceil(t n / (2-t)) of them with any key that is similar to it, so the first
+    two that the keys share, in one global order, are among the n - o + 2 rarest of either. Keys meet in such pairs of
+    bigrams, of which there are as many as squares of the alphabet, so the lists of keys that meet in one stay short
+    where those of single bigrams would grow with the data. Only very short keys (o = 1) and those that can be
+    similar to them meet in single bigrams. A pair of keys counts where it first meets, so it comes out once without
+    a shuffle of candidates; what is left there of either bounds what they can share. Keys equal without spaces are
+    joined on that. No pair is lost, every candidate is verified with the exact value.
     """
     t = threshold
+    share = t / (2 - t)
     keys = numbered(left, right)
     a = keys.where("side = 'a'")
     b = a if right is None else keys.where("side = 'b'")
+    few = math.floor(1 / share + 1e-9)  # keys of up to so many bigrams may share only one with a similar one
+    short = math.floor(few / share + 1e-9)  # and these have at most so many
 
     def prefix(df: DataFrame, name: str) -> DataFrame:
-        keep = (F.col("n") - F.ceil(F.lit(t / (2 - t)) * F.col("n") - 1e-9) + 1).cast("int")
-        return df.where("n > 0").select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("g").alias(f"g_{name}"), F.posexplode(F.slice("g", F.lit(1), keep)).alias(f"i_{name}", "x"))
+        least = F.greatest(F.ceil(F.lit(share) * F.col("n") - 1e-9), F.lit(1))
+        rare = lambda more: F.slice("g", F.lit(1), F.least(F.col("n") - least + more, F.col("n")).cast("int"))
+        df = df.where("n > 0").withColumns({"p1": rare(1), "p2": rare(2)})
+        at = lambda x, i: F.get(x, (i - 1).cast("int"))
+        upto = lambda m: F.when(m > 0, F.sequence(F.lit(1), m.cast("int"))).otherwise(F.array().cast("array<int>"))
+        entry = lambda x, i: F.struct(x.cast("bigint").alias("x"), i.cast("int").alias("i"))
+        twos = F.flatten(F.transform(upto(F.size("p2")), lambda j: F.transform(upto(j - 1), lambda i: entry(F.shiftleft(at(F.col("p2"), i).cast("bigint") + 1, 32) + at(F.col("p2"), j), j))))
+        ones = F.when(F.col("n") <= short, F.transform(upto(F.size("p1")), lambda i: entry(at(F.col("p1"), i), i))).otherwise(F.array().cast("array<struct<x:bigint,i:int>>"))
+        return df.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("g").alias(f"g_{name}"), F.explode(F.concat(twos, ones)).alias("e")).select(name, f"n_{name}", f"g_{name}", F.col("e.x").alias("x"), F.col("e.i").alias(f"i_{name}"))
 
     joined = prefix(a, "a").join(prefix(b, "b"), "x")
-    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (t / (2 - t)) - 1e-9
+    close = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * share - 1e-9
     joined = joined.where(close & (F.col("a") < F.col("b")) if right is None else close)
-    # a pair counts where it meets first, so it comes out once without a shuffle of pairs; what is left there bounds its overlap
-    most = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
-    before = F.arrays_overlap(F.slice("g_a", F.lit(1), F.col("i_a")), F.slice("g_b", F.lit(1), F.col("i_b")))
-    met = joined.where(2 * most >= t * (F.col("n_a") + F.col("n_b")) - 1e-9).where(~before)
+    two = (F.shiftright("x", 32) > 0).cast("int") + 1  # how many bigrams the keys meet in
+    need = F.ceil(t * (F.col("n_a") + F.col("n_b")) / 2 - 1e-9)
+    most = two + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    # met in one only if one is all they need to share, else in their first two
+    fits = F.when(two == 1, need <= 1).otherwise(need >= 2) & (most >= need)
+    first = F.size(F.array_intersect(F.slice("g_a", F.lit(1), F.col("i_a")), F.slice("g_b", F.lit(1), F.col("i_b")))) == two
+    met = joined.where(fits).where(first)
     score = 2.0 * F.size(F.array_intersect("g_a", "g_b")) / (F.col("n_a") + F.col("n_b"))
     near = met.select("a", "b", score.alias("score")).where(F.col("score") >= t)
     flat = a.select("flat", F.col("id").alias("a")).join(b.select("flat", F.col("id").alias("b")), "flat").select("a", "b", F.lit(1.0).alias("score"))

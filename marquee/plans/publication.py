@@ -271,5 +271,5 @@ def q_stream_counts(spark, d):
     folder = at if len(files) > 1 else at.rsplit("/", 1)[0]
     stream = spark.readStream.schema(t.schema).option("pathGlobFilter", "*.parquet" if len(files) > 1 else "api_session.parquet").parquet(folder)
     counts = refresh.windowed_counts(stream.select("landed_at", "cinema_id"), "landed_at", "cinema_id")
-    out = refresh.run_to_table(counts, f"counts-{uuid.uuid4().hex}")
+    out = refresh.run_to_table(counts, f"counts-{uuid.uuid4().hex}", ["start", "cinema_id"])
     return out.select(F.date_format(F.to_utc_timestamp("start", F.current_timezone()), "yyyy-MM-dd").alias("day"), "cinema_id", "n")

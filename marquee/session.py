@@ -19,11 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's `spark.checkpoint.dir`.
 
-    Only where neither that setting nor a checkpoint folder exists (local tests) a temporary folder is made.
+    Where neither that setting nor a checkpoint folder exists, a temporary folder is made if all executors are
+    threads of this machine (`local[...]`, as in tests); on a cluster that is an error, as executors share no such folder.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marquee-checkpoint-"))
     return sc.getCheckpointDir()
 

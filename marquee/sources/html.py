@@ -11,11 +11,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.functions import extract
 from marquee.functions.text import WS
 
 #: White space as the titles' functions have it, with U+FEFF.
@@ -106,7 +108,7 @@ SHOWS = "url string, title string, original_title string, minutes string, genres
 
 
 def parse_pages(pages: DataFrame, days: list[str] | None = None, most: int = 8 << 20) -> DataFrame:
-    """One row per screening of the pages (url, body). Bodies beyond `most` bytes are refused, as are null ones."""
+    """One row per screening of the pages (url, body). Bodies beyond `most` bytes are refused (see `refused`), null ones have none."""
     window = frozenset(days) if days is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,6 +122,80 @@ def parse_pages(pages: DataFrame, days: list[str] | None = None, most: int = 8 <
     return pages.select("url", "body").where("body is not null").where(F.octet_length("body") <= most).mapInPandas(run, SHOWS)
 
 
+def refused(pages: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """(url, error) of the pages that `parse_pages` does not read."""
+    size = F.octet_length("body")
+    return pages.where(size > most).select("url", F.concat(F.lit(f"more than {most} bytes: "), size.cast("string")).alias("error"))
+
+
+def film_title(page: Node) -> str | None:
+    """The title of a film's own page: its first heading, else what it says to other sites."""
+    head = page.find(tag="h1")
+    if head and (t := head[0].text()):
+        return t
+    meta = [m.attrs.get("content") or "" for m in page.find(tag="meta") if m.attrs.get("property") == "og:title"]
+    return next((t for m in meta if (t := SPACES.sub(" ", m).strip(" "))), None)
+
+
+DETAILS = "url string, title string, line string, poster_url string"
+
+
+def film_pages(pages: DataFrame) -> DataFrame:
+    """(url, title, line, poster_url) of film pages (url, body): `line` is the first paragraph beside the heading, from which
+    the functions of `extract` read original title, length and country. Broken pages have nulls."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url, body in zip(b["url"], b["body"]):
+                page = tree(body)
+                head = page.find(tag="h1")
+                near = (head[0].up or page).find(tag="p") if head else []
+                og = [m.attrs.get("content") for m in page.find(tag="meta") if m.attrs.get("property") == "og:image"]
+                rows.append((url, film_title(page), near[0].text() if near else None, og[0] if og else None))
+            yield pd.DataFrame(rows, columns=["url", "title", "line", "poster_url"])
+
+    return pages.select("url", "body").mapInPandas(run, DETAILS)
+
+
+def film_links(pages: DataFrame, base: str, pattern: str = r"/film/\d+") -> DataFrame:
+    """(page, url, ord, title, poster_url): the films that home pages (url, body) link to, one per address, resolved against `base`.
+
+    An address counts if its path is of the pattern; title and poster are the first that any of its anchors has.
+    """
+    fits = re.compile(pattern + "$")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for page, body in zip(b["url"], b["body"]):
+                found: dict[str, list] = {}
+                for href, title, poster in links(body, ""):
+                    try:
+                        url = urljoin(base, href)
+                        ok = bool(fits.search(urlsplit(url).path.rstrip("/")))
+                    except ValueError:
+                        continue
+                    if ok:
+                        x = found.setdefault(url, ["", None])
+                        x[0], x[1] = x[0] or title, x[1] or (urljoin(base, poster) if poster else None)
+                rows += [(page, u, i, t or None, p) for i, (u, (t, p)) in enumerate(found.items())]
+            yield pd.DataFrame(rows, columns=["page", "url", "ord", "title", "poster_url"])
+
+    return pages.select("url", "body").where("body is not null").mapInPandas(run, "page string, url string, ord int, title string, poster_url string")
+
+
+def with_details(listed: DataFrame, details: DataFrame, shows: DataFrame) -> DataFrame:
+    """Listed films (url, title, ...) with what their own pages say and their screenings (url, ...).
+
+    A film whose page is missing or broken keeps what was listed; one without title or screening is dropped.
+    """
+    d = details.select("url", F.col("title").alias("_t"), "line", F.col("poster_url").alias("_p")).dropDuplicates(["url"])
+    x = listed.join(d, "url", "left").withColumns({"title": F.coalesce(F.nullif("title", F.lit("")), "_t"), "poster_url": F.coalesce("poster_url", "_p")}).drop("_t", "_p")
+    x = x.withColumns({"original_title": extract.original_title(F.col("line")), "runtime_minutes": extract.runtime(F.col("line"))})
+    return x.where("title is not null").join(shows, "url")
+
+
 def links(html: str | None, part: str) -> list[tuple[str, str, str | None]]:
     """(address without fragment, title, poster) of the anchors whose address has `part`, one per address: first non-empty title and poster."""
     found: dict[str, list] = {}

@@ -43,7 +43,34 @@ def test_json_or_empty_and_pages(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "x.html").write_text(PAGE)
     (tmp_path / "p" / "big.html").write_text("x" * 9000)
-    assert files.landed_pages(spark, str(tmp_path / "p"), 8000).count() == 1
+    pages = {r["url"].rsplit("/", 1)[1]: (r["body"] is None, r["error"]) for r in files.landed_pages(spark, str(tmp_path / "p"), 8000).collect()}
+    assert pages == {"x.html": (False, None), "big.html": (True, "more than 8000 bytes: 9000")}
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text('{"a": 3}')
+    (tmp_path / "j" / "b.json").write_text('{"a": ')
+    assert [r["a"] for r in files.json_or_empty(spark, str(tmp_path / "j"), "a int").collect()] == [3]
+
+
+def test_film_pages_and_links(spark):
+    home = spark.createDataFrame([("h", '<a href="/film/7#x"></a><a href="http://s.example/film/7" title="Sedmi"><img src="s.png"></a><a href="/film/8/">Osmi</a><a href="/filmovi">Y</a><a href="//[bad">Z</a>'), ("n", None)], "url string, body string")
+    got = [tuple(r)[1:] for r in html.film_links(home, "http://s.example/").orderBy("ord").collect()]
+    assert got == [("http://s.example/film/7", 0, "Sedmi", "http://s.example/s.png"), ("http://s.example/film/8/", 1, "Osmi", None)]
+    body = '<div><h1>Sedmi film</h1><p>The Seventh | Trajanje: 98 min</p></div>'
+    pages = spark.createDataFrame([("http://s.example/film/7", body), ("b", '<meta property="og:title" content=" Iz  zaglavlja "><h1></h1>'), ("c", None)], "url string, body string")
+    d = html.film_pages(pages)
+    assert {r["url"]: r["title"] for r in d.collect()} == {"http://s.example/film/7": "Sedmi film", "b": "Iz zaglavlja", "c": None}
+    shows = spark.createDataFrame([("http://s.example/film/7", "18:00"), ("http://s.example/film/8/", "20:00")], "url string, time string")
+    out = {r["title"]: (r["original_title"], r["runtime_minutes"], r["time"]) for r in html.with_details(html.film_links(home, "http://s.example/"), d, shows).collect()}
+    assert out == {"Sedmi": ("The Seventh", 98, "18:00"), "Osmi": (None, None, "20:00")}
+    assert [tuple(r) for r in html.refused(pages, 65).collect()] == [("http://s.example/film/7", f"more than 65 bytes: {len(body)}")]
+
+
+def test_sessions_take_titles_in_order_and_titles_may_say_dubbed(spark):
+    body = json.dumps({"sessions": [{"id": str(i), "movieId": m, "technologies": [["2D"]], "showtime": "2026-08-19T20:00:00+02:00"} for i, m in enumerate(["a", "b", "c", "d"])]})
+    s = spark.createDataFrame([(1, body)], "landing_id bigint, body string").select("landing_id", F.posexplode(F.from_json("body", f"struct<sessions:array<{files.SESSION}>>")["sessions"]).alias("ord", "s")).select("landing_id", "ord", "s.*")
+    films = spark.createDataFrame([("a", "Prvi", "x", "y"), ("b", None, "Drugi - sinhronizovano", "y"), ("c", None, None, "Treći"), ("d", None, None, None)], "id string, titleCalculated string, title string, titleOriginalCalculated string")
+    got = {r["movieId"]: (r["rawTitle"], r["audio"]) for r in files.screenings(s, None, films).collect()}
+    assert got == {"a": ("Prvi", "subtitled"), "b": ("Drugi - sinhronizovano", "dubbed"), "c": ("Treći", "subtitled")}
 
 
 def test_scan_isolates_failures_and_falls_back(spark):
@@ -67,3 +94,8 @@ def test_refresh_stream_equals_batch(spark, small, tmp_path):
         q.awaitTermination()
     out = spark.read.option("basePath", str(tmp_path / "out")).parquet(str(tmp_path / "out"))
     assert out.count() == src.count() and out.select("batch").distinct().count() == 3
+    again = src.limit(5).withColumn("landed_at", F.col("landed_at") + F.expr("interval 1 day"))
+    again.write.mode("append").parquet(str(tmp_path / "in"))
+    refresh.refresh(refresh.landed(spark, str(tmp_path / "in"), src.schema, 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    now = refresh.refreshed(spark, str(tmp_path / "out"))
+    assert now.count() == src.count() and now.join(again, ["showtime_id", "landed_at"]).count() == 5
