@@ -1,10 +1,8 @@
 """Connected groups of records from pairwise matches, by randomised contraction.
 
-Vertices are keys. In every round each vertex hooks to the neighbour (or itself) that comes first in a fresh
-hash order, edges are relabelled and made distinct, and the map of the round is kept; a constant share of the
-vertices vanishes per round, so the rounds grow with the logarithm of the longest chain. Afterwards the maps are
-expanded from the last to the first. Every round is written to the shared checkpoint folder. A vertex of very
-many edges is combined before the shuffle when hooking and is split by AQE when relabelling.
+Vertices are keys, linked by the rows that carry them (a star around the row's first key) and by the matches. The
+core's `contract` hooks every vertex to the neighbour that comes first in a fresh hash order, relabels, makes edges
+distinct and repeats; then its maps are expanded, table by table, and forgotten.
 
 Null keys link nothing; a key matched with itself links nothing new; repeated and reversed pairs count once;
 keys that no row carries link on; rows without keys form no group. Empty tables give none. Ties of the hash
@@ -13,42 +11,13 @@ order go to the smaller vertex.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators.contraction import contract
 from marquee.session import checkpointed, forget
 
 
-def contract(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, root) of every vertex of `edges` (a bigint, b bigint); equal roots if and only if connected."""
-    both = edges.where("a is not null and b is not null and a <> b")
-    left = checkpointed(both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    maps: list[DataFrame] = []
-    for r in range(rounds):
-        if left.isEmpty():
-            break
-        order = lambda c: F.struct(F.xxhash64(F.lit(r * 7919 + 17), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
-        hook = left.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("v"), F.least(order("a"), F.col("m"))["v"].alias("root"))
-        hook = checkpointed(hook)
-        maps.append(hook)
-        half = left.join(hook.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b").distinct()
-        moved = half.join(hook.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-        before, left = left, checkpointed(moved)
-        forget(before)
-    else:
-        raise RuntimeError(f"not contracted after {rounds} rounds")
-    if not maps:
-        return edges.select(F.col("a").alias("v"), F.col("a").alias("root")).where("false")
-
-    def expand(later: DataFrame, earlier: DataFrame) -> DataFrame:
-        on = later.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        return earlier.join(on, "root", "left").select("v", F.coalesce("far", "root").alias("root"))
-
-    return reduce(expand, reversed(maps[:-1]), maps[-1])
-
-
 def key_ids(keys: DataFrame) -> DataFrame:
     """(key, id) of the distinct keys; exact (no hashes), fixed by a checkpoint."""
     return checkpointed(keys.where("key is not null").distinct().withColumn("id", F.monotonically_increasing_id()))
@@ -64,7 +33,9 @@ def group_rows(groups: DataFrame, matches: DataFrame, row: str = "group_no", key
     own = held.join(first, "row").where("id <> a").select("a", F.col("id").alias("b"))
     named = pairs.where("left_key <> right_key").distinct().join(ids.select(F.col("key").alias("left_key"), F.col("id").alias("a")), "left_key").join(ids.select(F.col("key").alias("right_key"), F.col("id").alias("b")), "right_key").select("a", "b")
     root = contract(own.union(named))
-    placed = first.join(root.select(F.col("v").alias("a"), "root"), "a", "left").select("row", F.coalesce("root", "a").alias("set"))
+    placed = checkpointed(first.join(root.select(F.col("v").alias("a"), "root"), "a", "left").select("row", F.coalesce("root", "a").alias("set")))
+    for done in (ids, held, root):
+        forget(done)
     least = placed.groupBy("set").agg(F.min("row").alias("root"), F.max("row").alias("most"))
     linked = placed.join(least, "set").select("row", "root", (F.col("root") < F.col("most")).alias("several"))
     return linked.select(F.col("row").alias(row), F.col("root").alias("root_no"), "several")

@@ -9,7 +9,9 @@
    the corpus that are wholly in one script; the table is bounded by the cube of the alphabets.
 
 Text whose encoding is broken (UTF-8 read in another encoding, replacement characters) is left as it is, and so
-are capitals, missing accents, misspellings, ordinary spaces and words wholly in Latin or Cyrillic. Null gives
+are capitals, missing accents, misspellings, ordinary spaces and words wholly in Latin or Cyrillic. So is a word
+wholly in a third script if the text is written in it: if it has letters of that script that look like no others, or
+no word in Latin or Cyrillic beside it. Null gives
 null; empty text is its own form; texts of any length are read whole; repeated rows come out as often as they
 came in; ties go to fewer changes, then to Latin.
 """
@@ -147,7 +149,27 @@ class Model:
         s = "".join(c for c in s if not invisible(c))
         s = "".join(p if p in ORDINARY else unicodedata.normalize("NFKC", p) for p in re.split("([…™№])", s))
         s = "".join(" " if c != " " and unicodedata.category(c) in ("Zs", "Zl", "Zp") else c for c in s).translate(HYPHENS)
-        return _WORD.sub(lambda m: self.word(m[0]), s)
+        own = _own_scripts(s) if any(c in STAND_INS for c in s) else frozenset()
+        return _WORD.sub(lambda m: m[0] if own and _script(m[0]) in own else self.word(m[0]), s)
+
+
+@lru_cache(maxsize=100_000)
+def _script(word: str) -> str | None:
+    """The script that a whole word is written in; None for a mix, for Latin and for Cyrillic."""
+    names = {unicodedata.name(c, "?").split()[0] for c in word if not unicodedata.combining(c)}
+    return next(iter(names)) if len(names) == 1 and not names & {"LATIN", "CYRILLIC", "?"} else None
+
+
+def _own_scripts(text: str) -> frozenset[str]:
+    """Scripts other than Latin and Cyrillic that a text is written in, not only disguised with: no word of two letters or
+    more is in Latin or Cyrillic, or a word of that script has letters that look like none of them."""
+    words = _WORD.findall(text)
+    ordinary = any(len(w) > 1 and any(c in USUAL[LATIN] or c in USUAL[CYRILLIC] for c in w) for w in words)
+    found: dict[str, bool] = {}
+    for w in words:
+        if (script := _script(w)) is not None:
+            found[script] = found.get(script, False) or any(c not in STAND_INS and not unicodedata.combining(c) for c in unicodedata.normalize("NFD", w))
+    return frozenset(s for s, real in found.items() if real or not ordinary)
 
 
 MAX_GRAMS = (len(_LOWER[0]) + 2) ** 3 + (len(_LOWER[1]) + 2) ** 3

@@ -65,3 +65,11 @@ def test_empty(spark):
 def test_replaces_clashing_column(spark):
     df = spark.createDataFrame([("Ａ", "old")], "value string, form string")
     assert [tuple(r) for r in L.unify(df, model(spark)).collect()] == [("Ａ", "A")]
+
+
+def test_words_of_a_third_script_stay():
+    """Greek titles stay Greek, even of letters that all look Latin; Greek letters inside a Latin title do not."""
+    m = L.Model({})
+    for t in ("ΝΑΙ", "ΚΑΤΙ", "ΜΑΤΙΑ", "ΤΟ ΟΝΟΜΑ", "Η ζωή είναι ωραία", "ΤΟ ΟΝΟΜΑ film λόγος"):
+        assert m.text(t) == t
+    assert m.text("ΝΑΙ je film") == "NAI je film" and m.text("Νοć") == "Noć"
