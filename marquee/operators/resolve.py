@@ -35,25 +35,39 @@ def fold(rows: list[tuple[int, list[str], int | None]], similar: set[tuple[str,
     A row with an external id joins that id's group, else adopts the first group without id that is similar, else
     founds one; a row without joins the first similar group, else founds one.
     """
-    groups: list[dict] = []
+    near: dict[str, set[str]] = {}
+    for a, b in similar:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    keys_of: list[set[str]] = []  # the keys, the external id and the first row of each group
+    ids: list[int | None] = []
+    first: list[int] = []
+    having: dict[str, set[int]] = {}  # groups that have a key, and those of them without an external id
+    free: dict[str, set[int]] = {}
+    by_id: dict[int, int] = {}
     out = []
-
-    def alike(keys: list[str], group: dict) -> bool:
-        return any(k in group["keys"] or (k, g) in similar or (g, k) in similar for k in keys for g in group["keys"])
-
     for i, (_, keys, ext) in enumerate(rows):
-        found = next((g for g in groups if ext is not None and g["ext"] == ext), None)
-        if found is None and ext is not None:
-            found = next((g for g in groups if g["ext"] is None and alike(keys, g)), None)
-        elif found is None:
-            found = next((g for g in groups if alike(keys, g)), None)
-        if found is None:
-            found = {"ext": ext, "keys": set(), "first": i}
-            groups.append(found)
-        if found["ext"] is None:
-            found["ext"] = ext
-        found["keys"].update(keys)
-        out.append(found["first"])
+        at = by_id.get(ext) if ext is not None else None
+        if at is None:
+            where = having if ext is None else free
+            at = min((g for k in keys for x in (k, *near.get(k, ())) for g in where.get(x, ())), default=None)
+        if at is None:
+            at = len(ids)
+            keys_of.append(set())
+            ids.append(None)
+            first.append(i)
+        if ids[at] is None and ext is not None:
+            ids[at] = ext
+            by_id[ext] = at
+            for k in keys_of[at]:
+                free[k].discard(at)
+        for k in keys:
+            if k not in keys_of[at]:
+                keys_of[at].add(k)
+                having.setdefault(k, set()).add(at)
+                if ids[at] is None:
+                    free.setdefault(k, set()).add(at)
+        out.append(first[at])
     return out
 
 
@@ -61,12 +75,13 @@ def group_listings(listing: DataFrame, ids: DataFrame | None = None, threshold:
     """(listing_id, entity): entity is the first listing of the group, in the order of venue_ord, listing_ord, listing_id.
 
     Similar keys are found by the blocked join; the graph of keys (and external ids) splits into components that
-    cannot meet; inside a component the greedy order is replayed exactly. Listings alike in keys and external id
-    are replayed once, so that copies do not make a component large.
+    cannot meet; inside a component the greedy order is replayed exactly, in one task. Listings alike in keys and
+    external id are replayed once, as they share one group whatever comes between; those without an external id may
+    part when an older group gains a similar key, so each of them is replayed.
     """
     rows = title_keys(listing).select("listing_id", "venue_ord", "listing_ord", "keys")
     rows = rows.join(ids.select("listing_id", "external_id"), "listing_id", "left") if ids is not None else rows.withColumn("external_id", F.lit(None).cast("bigint"))
-    rows = checkpointed(rows.withColumn("sig", F.to_json(F.struct("keys", "external_id"))))
+    rows = checkpointed(rows.withColumn("sig", F.to_json(F.struct("keys", "external_id", F.when(F.col("external_id").isNull(), F.col("listing_id")).alias("own")))))
     first = rows.groupBy("sig").agg(F.min_by(F.struct("listing_id", "keys", "external_id", "venue_ord", "listing_ord"), F.struct("venue_ord", "listing_ord", "listing_id")).alias("x")).select("sig", "x.*")
     first = checkpointed(first.where((F.size("keys") > 0) | F.col("external_id").isNotNull()))
     keys = first.select("sig", "external_id", F.explode("keys").alias("key"))

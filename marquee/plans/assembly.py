@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marquee.functions import classify, links, text
 from marquee.operators import enrich, merge, publish, resolve
 from marquee.plans import sql as S
-from marquee.plans.programme import AUDIO_SQL, CAND_SQL, KID_SQL, GROWN_SQL, PLAIN_TIME, QUERIES, SHOWN, SQL, _age_sql, q_candidate_match, query, shown
+from marquee.plans.programme import AUDIO_SQL, CAND_SQL, KID_SQL, GROWN_SQL, PLAIN_TIME, QUERIES, SHOWN, SQL, TRAILER_SQL, _age_sql, q_candidate_match, query, shown, trailers
+from marquee.plans.publication import component_sql
 from marquee.session import checkpointed, join_small, table
 
 __all__ = ["QUERIES", "SQL"]
@@ -203,3 +204,34 @@ def q_json_summary(spark, d):
     s = table(spark, d, "showtime").where("listing_id is not null").groupBy("listing_id").agg(F.count("*").alias("n"), F.min(F.concat("date", F.lit(" "), "time")).alias("first")).where("first is not null")
     l = table(spark, d, "listing").select("listing_id", F.col("clean_title").alias("title")).where("title is not null")
     return l.join(s, "listing_id").select("listing_id", F.replace(F.to_json(F.struct("title", "n", "first")), F.lit("<"), F.lit("\\u003C")).alias("document"))
+
+
+@query(f"""{TRAILER_SQL} SELECT d.landing_id, CASE WHEN t.key IS NULL THEN '{links.SEARCH}' || {component_sql("concat_ws(' ', title, CASE WHEN original_title <> '' AND original_title <> title THEN original_title END, 'trailer', 'srpski')")} ELSE '{links.WATCH}' || {component_sql('t.key')} END AS url, t.key IS NOT NULL AS exact
+FROM details_response d JOIN title_dim f ON f.id = d.title_id LEFT JOIN t USING (landing_id)""")
+def q_trailer_exact(spark, d):
+    """What the poster of every fetched film links to: its trailer where one is known, else a search."""
+    r = table(spark, d, "details_response").select("landing_id", F.col("title_id").alias("id")).join(table(spark, d, "title_dim").select("id", "title", "original_title"), "id")
+    x = r.join(trailers(spark, d).select("landing_id", "key"), "landing_id", "left")
+    url, exact = links.trailer_link(F.col("title"), F.col("original_title"), F.col("key"))
+    return x.select("landing_id", url.alias("url"), F.coalesce(exact, F.lit(False)).alias("exact"))
+
+
+def robots(base: str) -> str:
+    """What crawlers may read, and where the list of pages is."""
+    return f"User-agent: *\nAllow: /\nSitemap: {base.rstrip('/')}/sitemap.xml\n"
+
+
+#: The client's clock, as parameters: UTC instants and what the day and the minute in Belgrade are.
+NOW = "VALUES (1, TIMESTAMP '2026-06-01 16:00:00'), (2, TIMESTAMP '2026-06-01 22:30:00'), (3, TIMESTAMP '2026-10-25 00:30:00'), (4, TIMESTAMP '2026-10-25 01:30:00'), (5, NULL), (6, TIMESTAMP '2026-12-31 23:00:00')"
+
+
+@query(f"""WITH n AS (SELECT * FROM ({NOW}) t(id, utc)), l AS (SELECT id, (utc AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Belgrade' AS wall FROM n)
+SELECT l.id, strftime(wall, '%Y-%m-%d') AS today, hour(wall) * 60 + minute(wall) AS cutoff, count(s.showtime_id) AS begun FROM l LEFT JOIN (SELECT showtime_id, CAST(day AS VARCHAR) AS day, TRY_CAST(substring(time, 1, 2) AS INT) * 60 + TRY_CAST(substring(time, 4, 2) AS INT) AS start FROM ({SHOWN}) WHERE regexp_matches(time, '{PLAIN_TIME}')) s ON s.day = strftime(wall, '%Y-%m-%d') AND s.start < hour(wall) * 60 + minute(wall) GROUP BY ALL""")
+def q_now(spark, d):
+    """Day and minute in Belgrade of given instants, and how many screenings of that day have begun; the instant is a parameter, never the clock."""
+    n = spark.sql(f"SELECT id, utc FROM ({NOW.replace('TIMESTAMP ', 'TIMESTAMP_NTZ ')}) AS t(id, utc)")
+    at = F.convert_timezone(F.lit("UTC"), F.lit("Europe/Belgrade"), F.col("utc"))
+    l = n.select("id", F.date_format(at, "yyyy-MM-dd").alias("today"), (F.hour(at) * 60 + F.minute(at)).alias("cutoff"))
+    s = shown(spark, d).where(F.col("time").rlike(PLAIN_TIME)).groupBy(F.col("day").cast("string").alias("today"), (F.substring("time", 1, 2).try_cast("int") * 60 + F.substring("time", 4, 2).try_cast("int")).alias("start")).agg(F.count("*").alias("k"))
+    begun = l.join(s, "today", "left").groupBy("id", "today", "cutoff").agg(F.sum(F.when(F.col("start") < F.col("cutoff"), F.col("k")).otherwise(0)).alias("begun"))
+    return begun.select("id", "today", "cutoff", "begun")

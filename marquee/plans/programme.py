@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee.functions import classify, links, temporal, text
-from marquee.operators import merge, similarity
+from marquee.operators import merge, shred, similarity
 from marquee.plans import sql as S
-from marquee.session import table, utc_wall
+from marquee.session import spread, table, utc_wall
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -321,12 +321,18 @@ def q_domestic_remap(spark, d):
     return x.select("showtime_id", F.when((F.col("audio") == "subtitled") & F.col("domestic"), "original").otherwise(F.col("audio")).alias("audio"))
 
 
-VIDEO = "struct<key:string,site:string,type:string,official:boolean,iso_639_1:string,iso_3166_1:string>"
+DETAILS = {"release_dates": 1, "release_dates.release_dates": 1, "videos": 1}
+
+
+def detail_rows(spark, d, wanted: str):
+    """The children of the details, however their bodies or levels are wrapped or encoded, with the columns of what they stand in."""
+    return shred.flatten(spread(table(spark, d, "details_response").select("landing_id", "body")), "landing_id", "body", [wanted], DETAILS, inherit=True)
 
 
 def videos(spark, d):
-    body = F.from_json("body", f"struct<id:bigint,videos:struct<results:array<{VIDEO}>>>")
-    return table(spark, d, "details_response").select("landing_id", F.posexplode(body["videos"]["results"]).alias("ord", "v")).select("landing_id", "ord", "v.*")
+    said = lambda c: F.try_element_at("columns", F.lit(c))
+    rows = detail_rows(spark, d, "videos")
+    return rows.select(F.col("record").alias("landing_id"), F.get("own", F.lit(0)).alias("ord"), *[said(c).alias(c) for c in ("key", "site", "type", "iso_639_1", "iso_3166_1")], (said("official") == "true").alias("official"))
 
 
 def trailers(spark, d):
@@ -336,9 +342,22 @@ def trailers(spark, d):
     return v.withColumn("score", score).groupBy("landing_id").agg(F.min_by(F.struct("key", "iso_639_1"), F.struct(-F.col("score"), F.col("ord"))).alias("x")).select("landing_id", "x.key", F.col("x.iso_639_1").alias("language"))
 
 
-TRAILER_SQL = """WITH b AS (SELECT landing_id, CAST(body AS JSON) AS j FROM details_response WHERE json_valid(body)),
-r AS (SELECT landing_id, json_extract(j, '$.videos.results') AS r FROM b WHERE json_type(j) = 'OBJECT' AND json_type(json_extract(j, '$.videos')) = 'OBJECT'),
-v AS (SELECT landing_id, i AS ord, json_extract(r, '$[' || i || ']') AS v FROM (SELECT landing_id, r, unnest(range(CAST(json_array_length(r) AS BIGINT))) AS i FROM r WHERE json_type(r) = 'ARRAY')),
+def _open(x: str) -> str:
+    """A JSON value without encoding as a string."""
+    inner = f"TRY_CAST(({x}->>'$') AS JSON)"
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND json_type({inner}) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN {inner} ELSE {x} END"
+
+
+def _level(name: str, source: str, path: str, keep: str = "landing_id", to: str = "landing_id") -> str:
+    """CTEs of the elements of a level (name: keep, ord, v) below the objects j of `source`: a list, a list in an object, or a lone object."""
+    return f"""{name}0 AS (SELECT {keep}, {_open(f"json_extract(j, '$.{path}')")} AS v FROM {source}),
+{name}1 AS (SELECT {to}, {_open("CASE WHEN json_type(v) = 'OBJECT' AND json_exists(v, '$.results') THEN json_extract(v, '$.results') ELSE v END")} AS v FROM {name}0),
+{name} AS (SELECT {to}, ord, {_open("v")} AS v FROM (SELECT {to}, _n AS ord, json_extract(v, '$[' || _n || ']') AS v FROM (SELECT *, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS _n FROM {name}1 WHERE json_type(v) = 'ARRAY')) UNION ALL SELECT {to}, 0, v FROM {name}1 WHERE json_type(v) = 'OBJECT')"""
+
+
+BODY_SQL = f"""b AS (SELECT landing_id, TRY_CAST(body AS JSON) AS j FROM details_response WHERE json_valid(body)), b1 AS (SELECT landing_id, {_open('j')} AS j FROM b), b2 AS (SELECT landing_id, {_open('j')} AS j FROM b1),
+r AS (SELECT landing_id, j FROM b2 WHERE json_type(j) = 'OBJECT' UNION ALL SELECT landing_id, {_open('x')} FROM (SELECT landing_id, json_extract(j, '$[' || i || ']') AS x FROM (SELECT *, unnest(range(CAST(json_array_length(j) AS BIGINT))) AS i FROM b2 WHERE json_type(j) = 'ARRAY')))"""
+TRAILER_SQL = f"""WITH {BODY_SQL}, {_level('v', 'r', 'videos')},
 f AS (SELECT landing_id, ord, v->>'$.key' AS key, v->>'$.site' AS site, v->>'$.type' AS type, v->>'$.official' AS official, v->>'$.iso_639_1' AS lang, v->>'$.iso_3166_1' AS country FROM v WHERE json_type(v) = 'OBJECT'),
 s AS (SELECT *, CASE WHEN lang = 'sr' THEN 400 ELSE 100 END + CASE WHEN country = 'RS' THEN 10 ELSE 0 END + CASE type WHEN 'Trailer' THEN 4 WHEN 'Teaser' THEN 2 ELSE 0 END + CASE WHEN official = 'true' THEN 1 ELSE 0 END AS score FROM f WHERE key <> '' AND coalesce(site, 'YouTube') = 'YouTube' AND lang IN ('sr', 'en')),
 t AS (SELECT landing_id, key, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY landing_id ORDER BY score DESC, ord) AS n FROM s) WHERE n = 1)"""
@@ -360,21 +379,13 @@ def q_trailer_summary(spark, d):
     return h.agg(F.array_join(F.transform(F.array_sort(F.collect_list(s)), lambda e: e["t"]), " · ").alias("t")).select(F.when(F.col("t") == "", "nema").otherwise(F.col("t")).alias("summary"))
 
 
-CERT = "struct<results:array<struct<iso_3166_1:string,release_dates:array<struct<certification:string>>>>>"
-
-
-@query("""WITH b AS (SELECT landing_id, CAST(body AS JSON) AS j FROM details_response WHERE json_valid(body)),
-r AS (SELECT landing_id, json_extract(j, '$.release_dates.results') AS r FROM b WHERE json_type(j) = 'OBJECT' AND json_type(json_extract(j, '$.release_dates')) = 'OBJECT'),
-c AS (SELECT landing_id, i, json_extract(r, '$[' || i || ']') AS c FROM (SELECT landing_id, r, unnest(range(CAST(json_array_length(r) AS BIGINT))) AS i FROM r WHERE json_type(r) = 'ARRAY')),
-d AS (SELECT landing_id, i, c->>'$.iso_3166_1' AS country, json_extract(c, '$.release_dates') AS d FROM c WHERE json_type(c) = 'OBJECT'),
-e AS (SELECT landing_id, i, country, k, json_extract(d, '$[' || k || ']')->>'$.certification' AS x FROM (SELECT *, unnest(range(CAST(json_array_length(d) AS BIGINT))) AS k FROM d WHERE json_type(d) = 'ARRAY'))
-SELECT landing_id, country, arg_min(x, (i, k)) AS certification FROM e WHERE country IS NOT NULL AND trim(x) <> '' GROUP BY 1, 2""")
+@query(f"""WITH {BODY_SQL}, {_level('c', 'r', 'release_dates')}, n AS (SELECT landing_id, ord AS i, v->>'$.iso_3166_1' AS country, v AS j FROM c WHERE json_type(v) = 'OBJECT'), {_level('e', 'n', 'release_dates', 'landing_id, i, country', 'landing_id, i, country')}
+SELECT landing_id, country, arg_min(x, (i, ord)) AS certification FROM (SELECT landing_id, country, i, ord, v->>'$.certification' AS x FROM e WHERE json_type(v) = 'OBJECT') WHERE country IS NOT NULL AND trim(x) <> '' GROUP BY 1, 2""")
 def q_certifications(spark, d):
     """The first label that is not blank of each country of each record."""
-    doc = F.from_json("body", f"struct<release_dates:{CERT}>")
-    c = table(spark, d, "details_response").select("landing_id", F.posexplode(doc["release_dates"]["results"]).alias("i", "c")).where("c.iso_3166_1 is not null")
-    e = c.select("landing_id", "i", F.col("c.iso_3166_1").alias("country"), F.posexplode("c.release_dates").alias("k", "x")).where("trim(x.certification) <> ''")
-    return e.groupBy("landing_id", "country").agg(F.min_by("x.certification", F.struct("i", "k")).alias("certification"))
+    rows = detail_rows(spark, d, "release_dates.release_dates")
+    e = rows.select(F.col("record").alias("landing_id"), "own", F.try_element_at("columns", F.lit("release_dates/iso_3166_1")).alias("country"), F.try_element_at("columns", F.lit("certification")).alias("x"))
+    return e.where("country is not null and trim(x) <> ''").groupBy("landing_id", "country").agg(F.min_by("x", "own").alias("certification"))
 
 
 def _age_sql(country: str) -> str:

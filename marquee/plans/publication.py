@@ -94,11 +94,11 @@ def q_origin_allowlist(spark, d):
     return table(spark, d, "showtime").select("showtime_id", links.on_origin("https://programme.example/", allowed)("booking_url").alias("url"))
 
 
-def _component_sql(x: str) -> str:
+def component_sql(x: str) -> str:
     return f"replace(replace(replace(replace(replace(url_encode({x}), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
 
 
-@query(f"SELECT id, '{links.SEARCH}' || {_component_sql("concat_ws(' ', title, CASE WHEN original_title <> '' AND original_title <> title THEN original_title END, 'trailer', 'srpski')")} AS url, false AS exact FROM title_dim")
+@query(f"SELECT id, '{links.SEARCH}' || {component_sql("concat_ws(' ', title, CASE WHEN original_title <> '' AND original_title <> title THEN original_title END, 'trailer', 'srpski')")} AS url, false AS exact FROM title_dim")
 def q_trailer_links(spark, d):
     """What a poster links to: a search where no trailer is known."""
     url, exact = links.trailer_link(F.col("title"), F.col("original_title"), F.lit(None).cast("string"))
@@ -243,20 +243,10 @@ def programme_pages(s, most: int = PAGE_BYTES):
     return parts.groupBy(*keys, "part").agg(F.collect_list("perf").alias("perfs")).select(F.col("cinema_id").alias("url"), body.alias("body"))
 
 
-@query(f"""SELECT cinema_id AS url, regexp_replace(trim({S.squeezed('clean_title')}), ' +', ' ', 'g') AS title, date, time, count(*) AS n FROM ({SHOWN.replace('SELECT s.*', 'SELECT s.*, l.clean_title').replace('FROM showtime s', 'FROM showtime s JOIN listing l USING (listing_id)').replace('JOIN dim_venue v USING (cinema_id)', 'JOIN dim_venue v ON v.cinema_id = s.cinema_id')})
-WHERE regexp_matches(clean_title, '^[A-Za-z0-9 :]+$') AND trim(clean_title) <> '' AND regexp_matches(time, '{PLAIN_TIME}') GROUP BY ALL""")
-def q_html_pages(spark, d):
-    """Pages made of the programme and parsed again: screenings per venue, title and time; titles of plain letters only, as its SQL says."""
-    l = table(spark, d, "listing").select("listing_id", "clean_title").where(F.col("clean_title").rlike("^[A-Za-z0-9 :]+$") & (F.trim("clean_title") != ""))
-    s = shown(spark, d).where(F.col("time").rlike(PLAIN_TIME)).join(l, "listing_id")
-    parsed = html.parse_pages(programme_pages(s))
-    return parsed.groupBy("url", "title", "date", "time").agg(F.count("*").alias("n"))
-
-
 @query(f"""SELECT cinema_id AS url, {S.trimmed(S.squeezed('clean_title'))} AS title, date, time, count(*) AS n FROM ({SHOWN.replace('SELECT s.*', 'SELECT s.*, l.clean_title').replace('FROM showtime s', 'FROM showtime s JOIN listing l USING (listing_id)').replace('JOIN dim_venue v USING (cinema_id)', 'JOIN dim_venue v ON v.cinema_id = s.cinema_id')})
 WHERE {S.trimmed('clean_title')} <> '' AND regexp_matches(time, '{PLAIN_TIME}') GROUP BY ALL""")
-def q_html_pages_all(spark, d):
-    """As q_html_pages, with every title: marks, Cyrillic, signs and quotes are escaped and read back."""
+def q_html_pages(spark, d):
+    """Pages made of the programme and parsed again: screenings per venue, title and time; marks, Cyrillic, signs and quotes are escaped and read back."""
     l = table(spark, d, "listing").select("listing_id", "clean_title").where("clean_title is not null")
     s = shown(spark, d).where(F.col("time").rlike(PLAIN_TIME)).join(l, "listing_id")
     return html.parse_pages(programme_pages(s)).groupBy("url", "title", "date", "time").agg(F.count("*").alias("n"))
