@@ -96,17 +96,23 @@ def stitch(text: str, heads: list[list[int]], tails: list[list[int]], chunk: int
     last boundary that is known to be right.
     """
     cuts, sure, last = [0], set(tails[0]), max(tails[0], default=0)
+    bare = 0  # how far behind `last` no boundary was found
     for i in range(1, len(heads)):
         common = [c for c in heads[i] if c in sure and c > cuts[-1] and not text[c - 1].isspace()]
         if common:
             cuts.append(common[0])
             sure = {t for t in tails[i] if t >= common[0]}
-            last = max(sure, default=common[0])
-        else:
-            stop = (i + 1) * chunk + overlap
-            ends = [last + e for e in boundaries(text[last:stop], stop >= len(text))]
-            sure = {e for e in ends if e >= (i + 1) * chunk}
-            last = max(ends, default=last)
+            last, bare = max(sure, default=common[0]), 0
+            continue
+        stop = min((i + 1) * chunk + overlap, len(text))
+        if len(heads[i]) <= 1 and stop - last < 2 * bare and stop < len(text):
+            sure = set()  # within a run; looked at again when it has doubled, so it is scanned in linear time
+            continue
+        ends = [last + e for e in boundaries(text[last:stop], stop >= len(text))]
+        sure = {e for e in ends if e >= (i + 1) * chunk}
+        new = max(ends, default=last)
+        bare = stop - last if new == last else 0
+        last = new
     return cuts
 
 
