@@ -135,3 +135,24 @@ def test_partitioning_does_not_matter(spark, small):
     assert one == {tuple(r) for r in resolve.group_listings(df.repartition(7)).collect()}
     assert "q_entity_groups" in catalogue.queries()
     assert text.CAP == 300
+
+
+def test_fold_equals_a_plain_replay():
+    """The indexed replay gives the groups of the plain one: by id, by adoption, by the first similar group."""
+    rnd = random.Random(7)
+    for _ in range(200):
+        names = [f"k{i}" for i in range(8)]
+        similar = {(a, b) for a in names for b in names if a < b and rnd.random() < 0.15}
+        rows = [(i, rnd.sample(names, rnd.randint(0, 2)), rnd.choice([None, None, 1, 2, 3])) for i in range(12)]
+        alike = lambda x, y: x == y or (x, y) in similar or (y, x) in similar  # noqa: B023, E731
+        groups, want = [], []
+        for i, keys, ext in rows:
+            fits = [g for g in groups if any(alike(k, x) for k in keys for x in g["keys"])]
+            found = next((g for g in groups if ext is not None and g["ext"] == ext), None) or next((g for g in fits if ext is None or g["ext"] is None), None)
+            if found is None:
+                found = {"keys": set(), "ext": None, "first": i}
+                groups.append(found)
+            found["ext"] = found["ext"] if found["ext"] is not None else ext
+            found["keys"] |= set(keys)
+            want.append(found["first"])
+        assert resolve.fold(rows, similar) == want

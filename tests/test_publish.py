@@ -64,3 +64,20 @@ def test_pages_keep_every_title_and_screening(spark):
     assert pages.count() > 9
     got = html.parse_pages(pages, most=2000).collect()
     assert {t: sum(r["title"] == t for r in got) for t in titles} == dict.fromkeys(titles, 50) and {r["code"] for r in got} == {'3D"<&'}
+
+
+def test_numbered_counts_through_all_ranges(spark):
+    df = spark.range(0, 5_000).withColumn("k", F.pmod(F.col("id") * 7919, F.lit(1000))).repartition(7)
+    got = publish.numbered(df, F.desc("k"), F.col("id")).collect()
+    want = sorted(got, key=lambda r: (-r["k"], r["id"]))
+    assert [r["position"] for r in want] == list(range(1, 5_001)) and set(got[0].asDict()) == {"id", "k", "position"}
+    assert publish.numbered(df.where("false"), F.col("id")).count() == 0
+
+
+def test_a_version_without_its_mark_does_not_count(spark, tmp_path):
+    base, schema = str(tmp_path / "state"), "source string, failures int"
+    assert publish.read_state(spark, base, schema).count() == 0
+    done = publish.swap_state(spark.createDataFrame([("a", 1)], schema), base)
+    half = publish.swap_state(spark.createDataFrame([("a", 9)], schema), base)
+    (tmp_path / "state" / half.rsplit("/", 1)[1] / "_SUCCESS").unlink()
+    assert done < half and [tuple(r) for r in publish.read_state(spark, base, schema).collect()] == [("a", 1)]
