@@ -182,6 +182,7 @@ def q_streak(spark, d):
     return streaks(spark, d)
 
 
+# The words of the alert in q_alert_body and its SQL are fixed values.
 NOW_SQL = HEALTH_SQL + ", cur AS (SELECT cinema_id, arg_max(failures, run) AS failures, max(run) AS run FROM streak GROUP BY 1)"
 
 
