@@ -156,3 +156,13 @@ def test_fold_equals_a_plain_replay():
             found["keys"] |= set(keys)
             want.append(found["first"])
         assert resolve.fold(rows, similar) == want
+
+
+def test_lists_of_keys_that_meet_are_not_broadcast(spark):
+    """Keys times their pairs of bigrams are far more than the table of keys, whose size is all that the planner knows."""
+    a, b = (spark.createDataFrame([(f"{w} {i}",) for i in range(20)], "key string") for w in ("velika trka", "velika trkaa"))
+    for right in (None, b):
+        df = similarity.similar_pairs(a, right, 0.62)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [x#" in plan and "BroadcastHashJoin [x#" not in plan
+        assert df.count() > 0
