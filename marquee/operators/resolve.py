@@ -91,11 +91,12 @@ def group_listings(listing: DataFrame, ids: DataFrame | None = None, threshold:
     edges = first.select(anchor.alias("a"), F.explode(F.concat(F.transform("keys", lambda k: node("k", k)), F.when(F.col("external_id").isNotNull(), F.array(node("x", F.col("external_id")))).otherwise(F.array().cast("array<string>")))).alias("b"))
     edges = edges.union(pairs.select(node("k", F.col("a")), node("k", F.col("b"))))
     comp = components(edges)
-    placed = first.join(comp.select(F.col("v").alias("v0"), "root"), anchor == F.col("v0")).drop("v0")
-    near = pairs.join(comp.select(F.col("v").alias("v1"), F.col("root").alias("at")), node("k", F.col("a")) == F.col("v1")).groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("near"))
+    # texts compress well, so the planner takes tables as large as the listings for small enough to broadcast
+    placed = first.hint("merge").join(comp.select(F.col("v").alias("v0"), "root"), anchor == F.col("v0")).drop("v0")
+    near = pairs.hint("merge").join(comp.select(F.col("v").alias("v1"), F.col("root").alias("at")), node("k", F.col("a")) == F.col("v1")).groupBy("at").agg(F.collect_list(F.struct("a", "b")).alias("near"))
     members = F.collect_list(F.struct("venue_ord", "listing_ord", "listing_id", "sig", "keys", "external_id"))
     sets = placed.groupBy("root").agg(F.array_sort(members).alias("members")).where(F.size("members") > 1)
-    sets = sets.join(near, F.col("root") == F.col("at"), "left").select("members", F.coalesce("near", F.array().cast("array<struct<a:string,b:string>>")).alias("near"))
+    sets = sets.hint("merge").join(near, F.col("root") == F.col("at"), "left").select("members", F.coalesce("near", F.array().cast("array<struct<a:string,b:string>>")).alias("near"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -108,5 +109,5 @@ def group_listings(listing: DataFrame, ids: DataFrame | None = None, threshold:
 
     sets = sets.mapInPandas(replay, "sig string, entity bigint")
     alone = first.select("sig", F.col("listing_id").alias("own"))
-    rows = rows.join(alone, "sig", "left")
-    return rows.join(sets, "sig", "left").select("listing_id", F.coalesce("entity", "own", "listing_id").alias("entity"))
+    rows = rows.join(alone.hint("merge"), "sig", "left")
+    return rows.join(sets.hint("merge"), "sig", "left").select("listing_id", F.coalesce("entity", "own", "listing_id").alias("entity"))

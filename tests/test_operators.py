@@ -166,3 +166,9 @@ def test_lists_of_keys_that_meet_are_not_broadcast(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [x#" in plan and "BroadcastHashJoin [x#" not in plan
         assert df.count() > 0
+
+
+def test_groups_are_joined_without_broadcasts_of_listings(spark):
+    df = resolve.group_listings(listings(spark, ["velika trka", "velika trkaa", "mala sirena", ""]))
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["listing_id"]: r["entity"] for r in df.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
