@@ -7,7 +7,8 @@ expanded from the last to the first, each into a table of its own, and forgotten
 combined before the shuffle when hooking and is split by AQE when relabelling.
 
 Null vertices and loops link nothing; repeated and reversed edges count once; ties of the hash order go to the
-smaller vertex. Vertices may be of any type that has an order.
+smaller vertex. Vertices may be of any type that has an order. Maps are merged with what they relabel: broadcasts of
+every round's map would add up in the driver.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ def contract(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.lit(r * 7919 + 17), F.col(c)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         hook = checkpointed(left.groupBy("a").agg(F.min(order("b")).alias("m")).select(F.col("a").alias("v"), F.least(order("a"), F.col("m"))["v"].alias("root")))
         maps.append(hook)
-        half = left.join(hook.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b").distinct()
-        moved = half.join(hook.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+        half = left.hint("merge").join(hook.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a").select("ra", "b").distinct()
+        moved = half.hint("merge").join(hook.select(F.col("v").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
         before, left = left, checkpointed(moved)
         forget(before)
     else:
@@ -45,7 +46,7 @@ def contract(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     while maps:
         earlier = maps.pop()
         on = out.select(F.col("v").alias("root"), F.col("root").alias("far"))
-        wider = checkpointed(earlier.join(on, "root", "left").select("v", F.coalesce("far", "root").alias("root")))
+        wider = checkpointed(earlier.hint("merge").join(on, "root", "left").select("v", F.coalesce("far", "root").alias("root")))
         forget(out)
         forget(earlier)
         out = wider

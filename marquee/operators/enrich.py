@@ -24,7 +24,8 @@ def resolve(lookups: DataFrame, candidates: DataFrame, overrides: DataFrame | No
     used = candidates.withColumn("stop", first_stop).where("stop is null or query_ord <= stop")
     per = used.groupBy("key", "id").agg(F.max("score").alias("score"), F.min(F.struct("query_ord", "cand_ord")).alias("first"))
     best = per.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("score"), "first"))).where(F.col("rank") == 1).where(F.col("score") >= least)
-    out = lookups.select("key").distinct().join(best.select("key", "id", "score"), "key", "left")
+    # lookups and their films grow with the listings: merged, never broadcast
+    out = lookups.select("key").distinct().hint("merge").join(best.select("key", "id", "score"), "key", "left")
     if overrides is not None:
         out = out.join(overrides_by_key(overrides), "key", "left").select("key", F.coalesce("override_id", "id").alias("id"), F.when(F.col("override_id").isNotNull(), 1.0).otherwise(F.col("score")).alias("score"))
     return out.where("id is not null")

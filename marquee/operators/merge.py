@@ -67,7 +67,7 @@ def merge_records(listing: DataFrame, group: str, venue: DataFrame) -> DataFrame
     out = agg.withColumn("title", shown).withColumn("originals", other)
     out = out.withColumn("key", normalize_title(F.col("title"))).withColumn("original_title", F.get(F.filter("originals", lambda v: normalize_title(v) != F.col("key")), F.lit(0)))
     genres = ordered_union(rows, group, "genres", ["venue_ord", "listing_ord", "listing_id"])
-    return out.drop("x", "key").join(genres, group, "left").withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
+    return out.drop("x", "key").hint("merge").join(genres, group, "left").withColumn("genres", F.coalesce("genres", F.array().cast("array<string>")))
 
 
 def domestic_audio(audio: Column, flag: Column, group: str) -> Column:

@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of `edges` (a, b): root is the same within a component; loops keep a vertex without other edges."""
     linked = contract(edges)
     alone = edges.select(F.col("a").alias("v")).union(edges.select("b")).where("v is not null").distinct()
-    return checkpointed(alone.join(linked, "v", "left").select("v", F.coalesce("root", "v").alias("root")))
+    return checkpointed(alone.hint("merge").join(linked, "v", "left").select("v", F.coalesce("root", "v").alias("root")))
 
 
 def fold(rows: list[tuple[int, list[str], int | None]], similar: set[tuple[str, str]]) -> list[int]:
@@ -80,7 +80,7 @@ def group_listings(listing: DataFrame, ids: DataFrame | None = None, threshold:
     part when an older group gains a similar key, so each of them is replayed.
     """
     rows = title_keys(listing).select("listing_id", "venue_ord", "listing_ord", "keys")
-    rows = rows.join(ids.select("listing_id", "external_id"), "listing_id", "left") if ids is not None else rows.withColumn("external_id", F.lit(None).cast("bigint"))
+    rows = rows.hint("merge").join(ids.select("listing_id", "external_id"), "listing_id", "left") if ids is not None else rows.withColumn("external_id", F.lit(None).cast("bigint"))
     rows = checkpointed(rows.withColumn("sig", F.to_json(F.struct("keys", "external_id", F.when(F.col("external_id").isNull(), F.col("listing_id")).alias("own")))))
     first = rows.groupBy("sig").agg(F.min_by(F.struct("listing_id", "keys", "external_id", "venue_ord", "listing_ord"), F.struct("venue_ord", "listing_ord", "listing_id")).alias("x")).select("sig", "x.*")
     first = checkpointed(first.where((F.size("keys") > 0) | F.col("external_id").isNotNull()))

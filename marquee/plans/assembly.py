@@ -23,7 +23,7 @@ def external_ids(spark: SparkSession, d: str) -> DataFrame:
     c = q_candidate_match(spark, d).withColumns({"query_ord": F.lit(0), "cand_ord": F.col("rank"), "lookup": F.to_json(F.struct("key", "year"))})
     l = table(spark, d, "listing").select("listing_id", F.to_json(F.struct(text.normalize_title(F.col("clean_title")).alias("key"), "year")).alias("key"))
     found = enrich.resolve(l, c.select(F.col("lookup").alias("key"), "query_ord", "cand_ord", "id", "score"))
-    return l.join(found, "key").select("listing_id", F.col("id").alias("external_id"))
+    return l.hint("merge").join(found, "key").select("listing_id", F.col("id").alias("external_id"))
 
 
 EXT_SQL = f"SELECT l.listing_id, c.id AS external_id FROM listing l JOIN ({CAND_SQL}) c ON c.rank = 1 AND c.key = {S.normalize_title('l.clean_title')} AND c.year IS NOT DISTINCT FROM l.year"
@@ -58,20 +58,23 @@ def films_of(title_dim: DataFrame) -> DataFrame:
 
 
 def merged_programme(spark: SparkSession, d: str) -> DataFrame:
-    """One row per film: resolved, grouped, merged with the catalogue's values first, audio of domestic films put right."""
+    """One row per film: resolved, grouped, merged with the catalogue's values first, audio of domestic films put right.
+
+    Listings, groups, films and screenings all grow with the data and are merged; only venues are broadcast.
+    """
     listing = table(spark, d, "listing")
     ids = checkpointed(external_ids(spark, d))
-    groups = checkpointed(resolve.group_listings(listing, ids).join(ids, "listing_id", "left"))
-    one = merge.merge_records(listing.join(groups.select("listing_id", "entity"), "listing_id"), "entity", table(spark, d, "dim_venue"))
+    groups = checkpointed(resolve.group_listings(listing, ids).hint("merge").join(ids, "listing_id", "left"))
+    one = merge.merge_records(listing.hint("merge").join(groups.select("listing_id", "entity"), "listing_id"), "entity", table(spark, d, "dim_venue"))
     film = groups.groupBy("entity").agg(F.max("external_id").alias("external_id"))  # all resolved listings of a group have one film
-    m = one.join(film, "entity").join(films_of(table(spark, d, "title_dim")), "external_id", "left")
+    m = one.hint("merge").join(film, "entity").hint("merge").join(films_of(table(spark, d, "title_dim")), "external_id", "left")
     some = lambda c: F.when(F.col(c) != "", F.col(c))
     domestic = F.col("domestic") | F.coalesce(F.col("film_language") == "sr", F.lit(False))
     m = m.withColumns({"shown": F.coalesce(some("film_title"), "title"), "home": domestic})
     other = F.get(F.filter("originals", lambda v: text.normalize_title(v) != text.normalize_title(F.col("shown"))), F.lit(0))
     s = table(spark, d, "showtime").select("listing_id", F.when(F.col("audio").isin("dubbed", "subtitled", "original"), F.col("audio")).otherwise("unknown").alias("audio"))
-    plays = s.join(groups.select("listing_id", "entity"), "listing_id").groupBy("entity").agg(F.count("*").alias("showtimes"), F.bool_or(F.col("audio") == "dubbed").alias("has_dubbed"), F.count_if(F.col("audio") == "subtitled").alias("subtitled"), F.count_if(F.col("audio") == "unknown").alias("unknown_audio"))
-    m = m.join(plays, "entity", "left").withColumns({"genres_all": F.array_distinct(F.concat(F.coalesce("film_genres", F.array().cast("array<string>")), "genres"))})
+    plays = s.hint("merge").join(groups.select("listing_id", "entity"), "listing_id").groupBy("entity").agg(F.count("*").alias("showtimes"), F.bool_or(F.col("audio") == "dubbed").alias("has_dubbed"), F.count_if(F.col("audio") == "subtitled").alias("subtitled"), F.count_if(F.col("audio") == "unknown").alias("unknown_audio"))
+    m = m.hint("merge").join(plays, "entity", "left").withColumns({"genres_all": F.array_distinct(F.concat(F.coalesce("film_genres", F.array().cast("array<string>")), "genres"))})
     dubbed = F.coalesce("has_dubbed", F.lit(False))
     age, source, confident = classify.age_rating(F.col("adult"), F.col("certifications"), F.col("genres_all"), dubbed)
     zero = lambda c: F.coalesce(c, F.lit(0))

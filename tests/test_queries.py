@@ -37,3 +37,19 @@ def test_session_zone_does_not_matter(spark, small, name):
         same(spark, small, catalogue.queries()[name], SQL[name])
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_programme_broadcasts_venues_only(spark, small, monkeypatch):
+    """Of all its steps, the maps of contraction too: what grows with the listings, films or screenings is merged; rows of ranges are counts."""
+    from marquee.operators import contraction, publish, resolve, similarity
+    from marquee.plans import assembly
+
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for module in (contraction, publish, resolve, similarity, assembly):
+        written = module.checkpointed
+        monkeypatch.setattr(module, "checkpointed", lambda df, written=written: (plan(df), written(df))[1])
+    plan(catalogue.queries()["q_programme"](spark, small))
+    joins = [x for p in plans for x in p.split("\n") if "BroadcastHashJoin" in x]
+    assert len(plans) > 15 and any("SortMergeJoin" in p for p in plans)
+    assert [x for x in joins if "[cinema_id#" not in x and "[_part#" not in x] == []
