@@ -172,3 +172,15 @@ def test_groups_are_joined_without_broadcasts_of_listings(spark):
     df = resolve.group_listings(listings(spark, ["velika trka", "velika trkaa", "mala sirena", ""]))
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r["listing_id"]: r["entity"] for r in df.collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_similar_pairs_are_found_without_any_broadcast(spark, monkeypatch):
+    """Keys, their numbers and their sets of bigrams are as many as the titles, in every step."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    written = similarity.checkpointed
+    monkeypatch.setattr(similarity, "checkpointed", lambda df: (plan(df), written(df))[1])
+    df = similarity.similar_pairs(spark.createDataFrame([("velika trka",), ("velika trkaa",), ("velikatrka",)], "key string"))
+    plan(df)
+    assert len(plans) == 4 and "BroadcastExchange" not in "".join(plans)
+    assert {(r["a"], r["b"]) for r in df.collect()} == {("velika trka", "velika trkaa"), ("velika trka", "velikatrka"), ("velika trkaa", "velikatrka")}
