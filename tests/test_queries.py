@@ -53,3 +53,19 @@ def test_programme_broadcasts_venues_only(spark, small, monkeypatch):
     joins = [x for p in plans for x in p.split("\n") if "BroadcastHashJoin" in x]
     assert len(plans) > 15 and any("SortMergeJoin" in p for p in plans)
     assert [x for x in joins if "[cinema_id#" not in x and "[_part#" not in x] == []
+
+
+def test_dice_pairs_run_without_broadcasts(spark, tmp_path, monkeypatch):
+    """Of the plans that ran: adaptive execution turns a join without a hint into a broadcast where its tables turn out small."""
+    from marquee.operators import similarity
+
+    plans = []
+    ran = lambda df: (df.collect(), plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]))
+    written = similarity.checkpointed
+    monkeypatch.setattr(similarity, "checkpointed", lambda df: (ran(df), written(df))[1])
+    spark.createDataFrame([("Velika trka",), ("Velika trkaa",), ("Velikatrka",), ("Mala sirena",)], "title string").write.parquet(f"{tmp_path}/title_dim.parquet")
+    df = catalogue.queries()["q_dice_pairs"](spark, str(tmp_path))
+    ran(df)
+    assert len(plans) == 4 and all("isFinalPlan=true" in p for p in plans)
+    assert "SortMergeJoin [x#" in plans[-1] and "Broadcast" not in "".join(plans)
+    assert {(r["a"], r["b"]) for r in df.collect()} == {("velika trka", "velika trkaa"), ("velika trka", "velikatrka"), ("velika trkaa", "velikatrka")}
